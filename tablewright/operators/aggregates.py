@@ -58,7 +58,9 @@ def _edge(df: DataFrame, col: str, method: str, order_by) -> Column:
     seen = value(df, col)
     if not order_by:
         return (F.first if method == "first" else F.last)(seen, ignorenulls=True)
-    place = F.when(seen.isNotNull(), F.struct(*[quoted(o) for o in as_list(order_by)]))
+    order = [quoted(o) for o in as_list(order_by)]
+    # One plain order column keeps the state fixed-width, which is hashed rather than sorted.
+    place = F.when(seen.isNotNull(), order[0] if len(order) == 1 else F.struct(*order))
     return (F.min_by if method == "first" else F.max_by)(seen, place)
 
 

@@ -196,16 +196,22 @@ def extract_entries(
     """
     ids = as_list(id_cols)
     check_columns(df, ids)
-    text = quoted(col)
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), 1).alias("key"),
-        F.regexp_extract_all(text, F.lit(pattern), 2).alias("value"),
+    keys = F.regexp_extract_all(quoted(col), F.lit(pattern), 1)
+    values = F.regexp_extract_all(quoted(col), F.lit(pattern), 2)
+    # Sorted by key and place, the first entry of a key follows another key: no shuffle needed.
+    entries = F.array_sort(
+        F.transform(
+            F.arrays_zip(keys.alias("key"), values.alias("value")),
+            lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value")),
+        )
     )
-    entries = df.select(*[quoted(c) for c in ids], F.posexplode(pairs).alias("__pos", "__entry"))
-    first = entries.groupBy(*[quoted(c) for c in ids], F.col("__entry")["key"].alias("key")).agg(
-        F.min_by(F.col("__entry")["value"], "__pos").alias("value")
+    is_first = lambda e, i: ~e["key"].eqNullSafe(F.get(F.col("__entries"), i - 1)["key"])
+    first = (
+        df.select(*[quoted(c) for c in ids], entries.alias("__entries"))
+        .select(*[quoted(c) for c in ids], F.inline(F.filter("__entries", is_first)))
+        .select(*[quoted(c) for c in ids], "key", strip("value").alias("value"))
+        .where("value <> ''")
     )
-    first = first.withColumn("value", strip("value")).where("value <> ''")
     if drop_placeholders:
         bracketed = F.col("value").startswith("<") & F.col("value").endswith(">")
         first = first.where(~bracketed & ~F.col("value").startswith("[Workflows edited"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..missing import as_list, check_columns, quoted, same_keys, without_nan
 from ..session import fits_broadcast
@@ -38,35 +38,14 @@ def _key_pairs(left: DataFrame, right: DataFrame, left_on, right_on) -> list[tup
     return list(zip(left_on, right_on))
 
 
-def _unmatched(side: DataFrame, other: DataFrame, pairs, null_safe: bool) -> DataFrame:
-    keys = other.select(*[quoted(o) for _, o in pairs]).distinct()
-    return side.join(keys, same_keys(pairs, null_safe), "left_anti")
-
-
-def _padded(df: DataFrame, *other: DataFrame) -> DataFrame:
-    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for o in other for f in o.schema.fields]
-    return df.select("*", *nulls)
+def _side(name: str, column: str) -> Column:
+    return F.col(f"{name}.`" + column.replace("`", "``") + "`")
 
 
-def _rows(left: DataFrame, right: DataFrame, pairs, flags, null_safe: bool) -> DataFrame:
-    """Joined rows of the wanted kinds, all columns of both sides."""
-    matches, left_only, right_only = flags
-    cond = same_keys(pairs, null_safe)
-    if flags == JOIN_KINDS["left"] and fits_broadcast(right):
-        return left.join(right, cond, "left")
-    if flags == JOIN_KINDS["right"] and fits_broadcast(left):
-        return left.join(right, cond, "right")
-    parts = []
-    if matches:
-        parts.append(left.join(right, cond, "inner"))
-    if left_only:
-        parts.append(_padded(_unmatched(left, right, pairs, null_safe), right))
-    if right_only:
-        swapped = [(r, l) for l, r in pairs]
-        parts.append(_padded(_unmatched(right, left, swapped, null_safe), left))
-    if not parts:
-        return _padded(left, right).limit(0)
-    return reduce(DataFrame.unionByName, parts)
+def _unmatched(side: DataFrame, other: DataFrame, pairs, null_safe: bool) -> DataFrame:
+    keys = other.select(*[quoted(o).alias(f"__k{i}") for i, (_, o) in enumerate(pairs)]).distinct()
+    cond = same_keys([(s, f"__k{i}") for i, (s, _) in enumerate(pairs)], null_safe)
+    return side.join(keys, cond, "left_anti")
 
 
 def join_by_flags(
@@ -92,29 +71,51 @@ def join_by_flags(
 
     left = without_nan(left, [l for l, _ in pairs])
     right = without_nan(right, [r for _, r in pairs])
-    l_name = {c: f"l{i}" for i, c in enumerate(left.columns)}
-    r_name = {c: f"r{i}" for i, c in enumerate(right.columns)}
-    joined = _rows(
-        left.toDF(*l_name.values()),
-        right.toDF(*r_name.values()),
-        [(l_name[l], r_name[r]) for l, r in pairs],
-        (matches, left_unmatched, right_unmatched),
-        null_safe,
-    )
-
-    out = []
-    for c in left.columns:
-        col = F.col(l_name[c])
-        if c in shared and right_unmatched:
-            col = F.coalesce(col, F.col(r_name[c]))
-        out.append((c + suffixes[0] if c in clash else c, col))
-    for c in right.columns:
-        if c not in shared:
-            out.append((c + suffixes[1] if c in clash else c, F.col(r_name[c])))
-    names = [n for n, _ in out]
+    out = [(c + suffixes[0] if c in clash else c, c, None) for c in left.columns]
+    out += [(c + suffixes[1] if c in clash else c, None, c) for c in right.columns if c not in shared]
+    names = [n for n, _, _ in out]
     if len(set(names)) != len(names):
         raise ValueError(f"the suffixes {suffixes} leave repeated names in {names}")
-    return joined.select(*[col.alias(n) for n, col in out])
+
+    def both(how: str) -> DataFrame:
+        # Qualified names instead of renamed sides: the shuffles below the join stay
+        # equal to those of the unmatched parts and are reused.
+        cond = None
+        for l, r in pairs:
+            a, b = _side("__l", l), _side("__r", r)
+            one = a.eqNullSafe(b) if null_safe else a == b
+            cond = one if cond is None else cond & one
+        cols = []
+        for name, l, r in out:
+            col = _side("__l", l) if l else _side("__r", r)
+            if l in shared and how == "right":
+                col = _side("__r", l)
+            cols.append(col.alias(name))
+        return left.alias("__l").join(right.alias("__r"), cond, how).select(*cols)
+
+    def only(side: DataFrame, other: DataFrame, at: int, keys) -> DataFrame:
+        cols = []
+        for name, *source in out:
+            c = source[at] or (source[0] if source[0] in shared else None)
+            absent = other.schema[source[1 - at]].dataType if c is None else None
+            cols.append((F.lit(None).cast(absent) if c is None else quoted(c)).alias(name))
+        return _unmatched(side, other, keys, null_safe).select(*cols)
+
+    flags = (matches, left_unmatched, right_unmatched)
+    if flags == JOIN_KINDS["left"] and fits_broadcast(right):
+        return both("left")
+    if flags == JOIN_KINDS["right"] and fits_broadcast(left):
+        return both("right")
+    parts = []
+    if matches:
+        parts.append(both("inner"))
+    if left_unmatched:
+        parts.append(only(left, right, 0, pairs))
+    if right_unmatched:
+        parts.append(only(right, left, 1, [(r, l) for l, r in pairs]))
+    if not parts:
+        return both("inner").limit(0)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def join_tables(
