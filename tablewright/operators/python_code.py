@@ -1,15 +1,15 @@
 """User Python over tables, in Arrow batches.
 
 No function here ever receives a whole group: a group is folded slice by slice into
-small states, and states are merged in two rounds.
+small states, which are merged per task and then per key.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..missing import as_list, check_columns, quoted, value
@@ -72,8 +72,7 @@ def for_each_group(
     merge: Callable[[Frame], dict],
     state: str,
     finish: dict[str, Column | str] | None = None,
-    fan_in: int = 256,
-    pending_rows: int = 10_000,
+    slice_rows: int = 100_000,
 ) -> DataFrame:
     """Run user code for every group, whatever its size.
 
@@ -82,52 +81,69 @@ def for_each_group(
     must give the same result for any split into slices.  ``finish`` maps output
     columns to expressions over the state; without it the state is the output.
 
-    Each task merges the states it makes; the next round merges the states of
-    ``fan_in`` neighbouring tasks, the last one those of all rounds.  Rows with a
+    A task folds ``slice_rows`` rows at a time and merges its own states; only states
+    are shuffled, and the last merge streams over them sorted by key.  Rows with a
     missing key belong to no group.
     """
     keys = as_list(keys)
     check_columns(df, keys)
     fields = T.StructType.fromDDL(state)
-    names = fields.names
     clean = df.select(*[value(df, c).alias(c) if c in keys else quoted(c) for c in df.columns])
     for k in keys:
         clean = clean.filter(quoted(k).isNotNull())
-    key_fields = [clean.schema[k] for k in keys]
-
-    def states(frame: Frame, step: Callable[[Frame], dict]) -> Frame:
-        made = [
-            {**dict(zip(keys, key if isinstance(key, tuple) else (key,))), **step(rows)}
-            for key, rows in frame.groupby(keys, sort=False)
-        ]
-        return pd.DataFrame(made, columns=[*keys, *names])
+    schema = T.StructType([*[clean.schema[k] for k in keys], *fields.fields])
+    columns = schema.names
+
+    def run(frame: Frame, step: Callable[[Frame], dict]) -> Frame:
+        """One state per group of the frame, groups in order of appearance."""
+        made = []
+        for key, rows in frame.groupby(keys, sort=False):
+            key = key if isinstance(key, tuple) else (key,)
+            made.append({**dict(zip(keys, key)), **step(rows)})
+        return pd.DataFrame(made, columns=columns)
+
+    def combine(states: Frame) -> Frame:
+        """One state per group; groups that have a single state are left alone."""
+        repeated = states.duplicated(keys, keep=False)
+        if not repeated.any():
+            return states
+        return pd.concat([states[~repeated], run(states[repeated], merge)], ignore_index=True)
 
     def fold_task(batches: Iterator[Frame]) -> Iterator[Frame]:
-        slot = TaskContext.get().partitionId() // fan_in
-        pending = None
+        rows, n, states = [], 0, None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rows.append(batch)
+                n += len(batch)
+                if n < slice_rows:
+                    continue
+            if n:
+                made = run(pd.concat(rows, ignore_index=True), fold)
+                rows, n = [], 0
+                states = made if states is None else combine(pd.concat([states, made], ignore_index=True))
+                if len(states) >= slice_rows:
+                    yield states
+                    states = None
+        if states is not None:
+            yield states
+
+    def merge_sorted(batches: Iterator[Frame]) -> Iterator[Frame]:
+        open_group = None
         for batch in batches:
-            made = states(batch, fold)
-            pending = made if pending is None else pd.concat([pending, made], ignore_index=True)
-            if len(pending) > pending_rows:
-                pending = states(pending, merge)
-                if len(pending) > pending_rows // 2:
-                    yield pending.assign(__slot=slot)
-                    pending = None
-        if pending is not None and len(pending):
-            yield states(pending, merge).assign(__slot=slot)
-
-    def merge_group(rows: Frame) -> Frame:
-        return states(rows, merge)
-
-    def merge_slot(rows: Frame) -> Frame:
-        return states(rows, merge).assign(__slot=rows["__slot"].iloc[0])
-
-    plain = T.StructType([*key_fields, *fields.fields])
-    slotted = T.StructType([*plain.fields, T.StructField("__slot", T.LongType())])
+            if batch.empty:
+                continue
+            last = batch[keys].iloc[-1]
+            frame = batch if open_group is None else pd.concat([open_group, batch], ignore_index=True)
+            states = combine(frame)
+            is_open = (states[keys] == last).all(axis=1)
+            open_group = states[is_open]
+            yield states[~is_open]
+        if open_group is not None:
+            yield open_group
+
     group = [quoted(k) for k in keys]
-    partial = clean.mapInPandas(fold_task, slotted)
-    partial = partial.groupBy(*group, "__slot").applyInPandas(merge_slot, slotted)
-    merged = partial.groupBy(*group).applyInPandas(merge_group, plain)
+    states = clean.mapInPandas(fold_task, schema)
+    merged = states.repartition(*group).sortWithinPartitions(*group).mapInPandas(merge_sorted, schema)
     if finish is None:
         return merged
     return merged.select(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..missing import order_columns, quoted, same_keys
-from ..session import materialize, shuffle_width
+from ..session import materialize
 
 PART = "__part"
 BEFORE = "__before"
@@ -24,17 +24,15 @@ def weights_before(
     """Add ``__before``, the weight of all earlier rows of the same ``by`` group, and
     ``__size``, the weight of the whole group.
 
-    ``order`` must identify the rows of a group, so that a range holds about
-    1/shuffle-partitions of the rows however large one group is.
+    ``order`` must identify the rows of a group; then the ranges even out however large
+    one group is.  Their number is that of the session's shuffle partitions, which
+    adaptive execution lowers for small data.
     """
     sort = [*order_columns(df, list(by)), *order_columns(df, list(order), ascending)]
-    width = shuffle_width(df.sparkSession)
-    cut = materialize(
-        df.repartitionByRange(width, *sort).withColumn(PART, F.spark_partition_id()), "ranges"
-    )
+    cut = materialize(df.repartitionByRange(*sort).withColumn(PART, F.spark_partition_id()), "ranges")
 
     totals = cut.groupBy(*[quoted(b) for b in by], PART).agg(F.sum(weight).alias("__total"))
-    # A group has at most one total per range, so these windows hold at most `width` rows.
+    # A group has at most one total per range, so a window holds at most one row per shuffle partition.
     group = Window.partitionBy(*[quoted(b) for b in by])
     earlier = group.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -62,16 +60,15 @@ def unique_positions(df: DataFrame, order: Sequence[str], ascending=True) -> Dat
     The position inside a range is stored with the row; ranges even out only if
     ``order`` takes many values.
     """
-    width = shuffle_width(df.sparkSession)
     sort = order_columns(df, list(order), ascending)
     address = F.monotonically_increasing_id()  # range number in the upper bits, position in the lower 33
     stored = materialize(
-        df.repartitionByRange(width, *sort).sortWithinPartitions(*sort).withColumn("__address", address),
+        df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("__address", address),
         "positions",
     )
     part = F.shiftright("__address", 33)
     counts = stored.groupBy(part.alias("__at")).count()
-    # One row per range: at most `width` rows are accumulated and broadcast.
+    # One row per range: no more rows than shuffle partitions are accumulated and broadcast.
     earlier = Window.partitionBy().orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__at", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__offset"))
     position = F.col("__offset") + F.col("__address").bitwiseAND((1 << 33) - 1)

@@ -12,16 +12,26 @@ from ..missing import as_list, check_columns, numeric_columns, order_columns, qu
 from .ranking import BEFORE, unique_positions, weights_before
 
 
-def sort_rows(df: DataFrame, cols: Sequence[str] | str, ascending: bool | Sequence[bool] = True) -> DataFrame:
+def sort_rows(
+    df: DataFrame, cols: Sequence[str] | str, ascending: bool | Sequence[bool] = True, copies: bool = True
+) -> DataFrame:
     """Sort by several keys, a direction per key, missing values last.
 
-    Rows with equal keys are ordered by a hash of the row, which lets the range
-    shuffle spread a key value that many rows share.
+    Rows with equal keys are ordered by a hash of the row, so the range shuffle can
+    spread a key value that many rows share.  Copies of one row are spread by their
+    place in the task; a local sort makes that place the same in a repeated task.
+    Say ``copies=False`` for a table without many equal rows to save that sort.
     """
     check_columns(df, as_list(cols))
+    order = order_columns(df, cols, ascending)
     hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    spread = F.xxhash64(*[quoted(c) for c in hashed])
-    return df.orderBy(*order_columns(df, cols, ascending), spread)
+    spread = df.withColumn("__hash", F.xxhash64(*[quoted(c) for c in hashed]))
+    if copies:
+        spread = spread.sortWithinPartitions("__hash").withColumn("__place", F.monotonically_increasing_id())
+        order = [*order, F.col("__hash"), F.col("__place")]
+    else:
+        order = [*order, F.col("__hash")]
+    return spread.orderBy(*order).select(*[quoted(c) for c in df.columns])
 
 
 def drop_duplicate_rows(

@@ -153,7 +153,7 @@ def _(t):
 
 
 @query(
-    "python_two_tables",
+    "python_cogroup",
     "SELECT o_orderkey AS orderkey, l_partkey, CAST(date_diff('day', o_orderdate, l_shipdate) AS BIGINT) AS days"
     " FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
 )

@@ -73,10 +73,6 @@ def release_materialized(spark: SparkSession) -> int:
     return released
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def fits_broadcast(df: DataFrame) -> bool:
     """True if the optimizer's own size estimate lets it broadcast ``df``."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()

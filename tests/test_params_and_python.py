@@ -82,8 +82,8 @@ def test_python_table(spark):
     assert {r["up"] for r in out.collect()} == {"12", " 1E3 ", "X", "", None}
 
 
-@pytest.mark.parametrize("batch, pending", [(10_000, 10_000), (7, 3)])
-def test_groups_of_any_size(spark, batch, pending):
+@pytest.mark.parametrize("batch, slice_rows", [(10_000, 100_000), (7, 3), (2, 20), (1, 5)])
+def test_groups_of_any_size(spark, batch, slice_rows):
     """The result does not depend on how the rows are sliced."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
@@ -93,8 +93,7 @@ def test_groups_of_any_size(spark, batch, pending):
             lambda rows: {"n": len(rows), "top": rows["value"].max(), "last": rows["id"].max()},
             lambda states: {"n": states["n"].sum(), "top": states["top"].max(), "last": states["last"].max()},
             "n bigint, top double, last bigint",
-            fan_in=2,
-            pending_rows=pending,
+            slice_rows=slice_rows,
         )
         got = {r["key"]: (r["n"], r["top"], r["last"]) for r in out.collect()}
     finally:

@@ -27,15 +27,21 @@ def test_sort_puts_missing_last(spark):
         sort_rows(df, ["x", "k"], [True])
 
 
-def test_sort_spreads_a_hot_key(spark):
-    df = spark.range(0, 60000, 1, 8).select(F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("k"), "id")
-    sizes = sort_rows(df, "k").groupBy(F.spark_partition_id()).count().collect()
+def test_sort_spreads_a_hot_key_and_copies(spark):
+    ids = spark.range(0, 60000, 1, 8)
+    hot_key = ids.select(F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("k"), "id")
+    copies = ids.select(F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("k"), F.lit("x").alias("t"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        sizes = sort_rows(df, "k").groupBy(F.spark_partition_id()).count().collect()
+        for df in (hot_key, copies):
+            out = sort_rows(df, "k")
+            sizes = out.groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in sizes) == 60000 and max(r["count"] for r in sizes) < 15000
+            keys = [r["k"] for r in out.collect()]
+            assert keys == sorted(keys)
+        assert sort_rows(hot_key, "k", copies=False).count() == 60000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert max(r["count"] for r in sizes) < 15000
 
 
 def test_distinct(spark):
