@@ -5,7 +5,7 @@ Documents are rows; every operator works on the whole text inside the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -134,27 +134,48 @@ def first_nonempty_pattern(col: str | Column, patterns: Sequence[str | tuple[str
     return F.coalesce(*[first_match(col, p, g) for p, g in pairs])
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _character(code: Column) -> Column:
+    """Character of a five-digit decimal code; surrogate halves stay escaped."""
+    n = code.try_cast("int")
+    # char() covers one byte and is much cheaper than decoding.
+    return (
+        F.when(n < 256, F.char(n))
+        .when(n.between(0xD800, 0xDFFF), F.concat(F.lit("%%"), code))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    )
+
+
 def decode_escapes(col: str | Column) -> Column:
     """Replace ``%%ddddd`` by the character of that decimal code.
 
     Codes of surrogate halves are no characters of a text and stay as they are.
+    A text with few different codes is treated code by code.  That is exact unless a
+    code stands for a digit or ``%``, which could complete another escape; such texts,
+    and those with many codes, are cut at the escapes and put together again.
     """
     text = _col(col)
-    pieces = F.split(text, r"%%(?=[0-9]{5})")
+    risky = F.array(*[F.lit(f"{ord(c):05d}") for c in "%0123456789"])
 
-    def decoded(piece: Column) -> Column:
-        code = F.substring(piece, 1, 5).try_cast("int")
-        # char() covers one byte and is much cheaper than decoding.
-        whole = (
-            F.when(code < 256, F.char(code))
-            .when(code.between(0xD800, 0xDFFF), F.concat(F.lit("%%"), F.substring(piece, 1, 5)))
-            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    def by_code(codes: Column) -> Column:
+        return F.aggregate(
+            codes, text, lambda done, code: F.replace(done, F.concat(F.lit("%%"), code), _character(code))
         )
-        return F.concat(whole, F.substring(piece, 6, 2**31 - 1))
 
+    pieces = F.split(text, r"%%(?=[0-9]{5})")
     rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    joined = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, decoded), ""))
-    return F.when(text.contains("%%"), joined).otherwise(text)
+    decoded = lambda piece: F.concat(_character(F.substring(piece, 1, 5)), F.substring(piece, 6, 2**31 - 1))
+    by_piece = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, decoded), ""))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("%%([0-9]{5})"), 1))
+    chosen = _bind(
+        found,
+        lambda codes: F.when((F.size(codes) <= 32) & ~F.arrays_overlap(codes, risky), by_code(codes)).otherwise(by_piece),
+    )
+    return F.when(text.contains("%%"), chosen).otherwise(text)
 
 
 def encode_escapes(col: str | Column, chars: str = " ") -> Column:
@@ -363,9 +384,19 @@ def fallback_groups(
 
 
 def split_clauses(col: str | Column) -> Column:
-    """SQL text with a line break before each clause keyword, keywords in upper case."""
-    broken = reduce(
-        lambda text, word: F.regexp_replace(text, rf"(?i)\s+{word}\s+", f"\n{word} "), CLAUSES, _col(col)
+    """SQL text with a line break before each clause keyword, keywords in upper case.
+
+    A keyword the text does not hold costs a plain search, no pattern match.
+    """
+    text = _col(col)
+    words = F.array(*[F.lit(w) for w in CLAUSES])
+    held = _bind(F.upper(text), lambda upper: F.filter(words, lambda word: upper.contains(word)))
+    broken = F.aggregate(
+        held,
+        text,
+        lambda done, word: F.regexp_replace(
+            done, F.concat(F.lit(r"(?i)\s+"), word, F.lit(r"\s+")), F.concat(F.lit("\n"), word, F.lit(" "))
+        ),
     )
     return strip(broken)
 

@@ -63,6 +63,7 @@ def python_decode(text):
 
 @pytest.mark.parametrize("text", [
     "plain", "", "a%%00010b", "%%%00032x", "%%%%00032", "%%0003", "%%00037%00032", "%%00009%%00010", "é%%08364%%66304", "%%12", "100%%",
+    "%%00037%%0003200032", "%%000%%0004810", "".join(f"%%{c:05d}" for c in range(60, 200)) + "%%00065x",
 ])
 def test_decode(spark, text):
     df = spark.createDataFrame([(text,)], "t string")
