@@ -22,6 +22,7 @@ SELECT_TEXT = r"(?is)SELECT\s+.+?\s+FROM\s+.+?(?:WHERE|ORDER|GROUP|LIMIT|;|$)"
 SELECT_VALUE = r'(?i)value="([^"]*SELECT[^"]*)"'
 FACTORY = r"(?:org|com)\.[a-zA-Z0-9_.]+NodeFactory[a-zA-Z0-9_$]*"
 CONNECTOR_FACTORY = r"(?:org|com)\.[a-zA-Z0-9_.]+(?:Connector|Api)Factory[a-zA-Z0-9_$]*"
+PLACEHOLDER_OR_EDGE = r"(?s)^\s*(?:<.*>|\[Workflows edited.*)\s*$|^\s+|\s+$"
 JDBC_URL = r"(jdbc:[a-zA-Z0-9+:/_.\-@]+)"
 
 # Database factories recognised by content, in order.
@@ -303,6 +304,12 @@ def simple_class(col: str | Column) -> Column:
     return F.element_at(F.split(_col(col), r"\."), -1)
 
 
+def _factory(text: Column) -> Column:
+    """Factory class a document names, or a database factory it mentions."""
+    by_content = reduce(lambda c, name: c.when(text.contains(name), name), DATABASE_FACTORIES, F)
+    return F.coalesce(first_match(text, FACTORY, 0), first_match(text, CONNECTOR_FACTORY, 0), by_content)
+
+
 def node_inventory(docs: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """(``path``, ``name``, ``factory``, ``sql``) of the documents that describe a node.
 
@@ -310,8 +317,7 @@ def node_inventory(docs: DataFrame, path: str = "path", content: str = "content"
     database readers only.
     """
     text = quoted(content)
-    by_content = reduce(lambda c, name: c.when(text.contains(name), name), DATABASE_FACTORIES, F)
-    factory = F.coalesce(first_match(text, FACTORY, 0), first_match(text, CONNECTOR_FACTORY, 0), by_content)
+    factory = _factory(text)
     folder = F.get(F.reverse(F.split(quoted(path), "/")), F.lit(1))
     reads = reduce(Column.__or__, [text.contains(f) for f in ("DBReader", "DBQueryReader", "DatabaseLooping")])
     found = docs.withColumns(
@@ -321,6 +327,66 @@ def node_inventory(docs: DataFrame, path: str = "path", content: str = "content"
     return found.select(quoted(path).alias("path"), "name", "factory", F.when(reads, F.col("sql")).alias("sql"))
 
 
+def entry_value(col: str | Column, key: str) -> Column:
+    """Trimmed value of the first entry of that key; empty values and placeholders like ``<…>`` are missing."""
+    found = F.regexp_extract(_col(col), rf'<entry\s+key="{key}"\s+[^>]*value="([^"]*)"', 1)
+    return F.nullif(F.regexp_replace(found, PLACEHOLDER_OR_EDGE, ""), F.lit(""))
+
+
+def connection_info(docs: DataFrame, path: str = "path", content: str = "content", internal: str | None = None) -> DataFrame:
+    """What the settings documents of database nodes say about their connection, a row per document.
+
+    Columns: ``path``, ``factory``, ``db_type``, ``is_connector``, ``is_load``, ``jdbc_url``,
+    ``subprotocol``, ``host``, ``port``, ``database_name``, ``driver``, ``user``, ``schema``,
+    ``table``, ``project``, ``hint_instance`` and ``hint_database``.  Entries come before the
+    parts of the address, a type by factory before one by driver.  Driver classes
+    that hold the text ``internal`` do not count.
+    """
+    text = quoted(content)
+    factory = simple_class(_factory(text))
+    hints = [fragment for fragment, _ in FACTORY_TYPES] + ["Connector", "Database"]
+    # One pattern: the filter is pushed down, and each mention of the factory is computed again there.
+    is_database = F.col("factory").rlike("|".join(hints))
+    driver = entry_value(text, "driver")
+    if internal:
+        driver = F.when(~driver.contains(internal), driver)
+    sql = F.coalesce(*[entry_value(text, key) for key in ("sql_statement", "statement", "query")])
+    found = docs.select(
+        quoted(path).alias("path"),
+        factory.alias("factory"),
+        F.coalesce(first_match(text, JDBC_URL), entry_value(text, "databaseUrl")).alias("jdbc_url"),
+        driver.alias("driver"),
+        sql.alias("__sql"),
+        F.coalesce(entry_value(text, "user"), entry_value(text, "userName")).alias("user"),
+        *[entry_value(text, key).alias(f"__{key}") for key in ("host", "port", "database_name", "database", "schema", "table")],
+    ).where(is_database)
+
+    found = sql_hints(parse_jdbc_url(found, "jdbc_url"), "__sql", "__database_name", "__database")
+    by_factory = factory_type("factory")
+    by_driver = by_factory.isin("unknown", "jdbc", "db_looping", "db_reader") & F.col("driver").isNotNull()
+    has = lambda *words: reduce(Column.__or__, [F.col("factory").contains(w) for w in words])
+    db_type = F.when(by_driver, driver_type("driver")).otherwise(by_factory)
+    return found.select(
+        "path",
+        "factory",
+        db_type.alias("db_type"),
+        has("Connector", "Api").alias("is_connector"),
+        has("Loader", "Writer").alias("is_load"),
+        "jdbc_url",
+        "subprotocol",
+        F.coalesce("__host", "host").alias("host"),
+        F.coalesce(F.col("__port").try_cast("bigint"), F.col("port")).alias("port"),
+        F.coalesce("__database_name", "database_name").alias("database_name"),
+        "driver",
+        "user",
+        F.col("__schema").alias("schema"),
+        F.col("__table").alias("table"),
+        F.when(db_type == "bigquery", F.col("project")).alias("project"),
+        "hint_instance",
+        "hint_database",
+    )
+
+
 def coverage_stats(nodes: DataFrame, matched: str = "matched") -> DataFrame:
     """One row: ``total``, ``matched``, ``fallback`` and ``coverage`` in percent, one decimal."""
     sums = nodes.agg(F.count("*").alias("total"), F.count_if(quoted(matched)).alias("matched"))

@@ -141,6 +141,26 @@ def _(t):
     return W.sql_hints(df, "sql", "named").drop("sql", "named")
 
 
+@query(
+    "connection_info",
+    "SELECT '/c/' || c_custkey AS path, CASE c_nationkey % 3 WHEN 0 THEN 'mysql' WHEN 1 THEN 'postgres' ELSE 'bigquery' END AS db_type,"
+    " CASE c_nationkey % 3 WHEN 2 THEN NULL ELSE 'h' || c_nationkey END AS host, CASE c_nationkey % 3 WHEN 2 THEN NULL ELSE 1000 + c_nationkey END AS port,"
+    " CASE c_nationkey % 3 WHEN 2 THEN NULL ELSE c_mktsegment END AS database_name,"
+    " CASE c_nationkey % 3 WHEN 2 THEN c_mktsegment END AS project FROM customer",
+)
+def _(t):
+    content = F.expr(
+        "CASE c_nationkey % 3"
+        " WHEN 0 THEN concat('org.sample.MySQLDBConnectorNodeFactory <entry key=\"databaseUrl\" type=\"xstring\" value=\"jdbc:mysql://h',"
+        " c_nationkey, ':', 1000 + c_nationkey, '/', c_mktsegment, '\"/>')"
+        " WHEN 1 THEN concat('org.sample.JDBCConnectorNodeFactory <entry key=\"driver\" type=\"xstring\" value=\"org.postgresql.Driver\"/>"
+        "<entry key=\"url\" type=\"xstring\" value=\"jdbc:postgresql://h', c_nationkey, ':', 1000 + c_nationkey, '/', c_mktsegment, '\"/>')"
+        " ELSE concat('org.sample.BigQueryDBConnectorNodeFactory <entry key=\"database\" type=\"xstring\" value=\"', c_mktsegment, '\"/>') END"
+    )
+    docs = t.customer.select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"), content.alias("content"))
+    return W.connection_info(docs).select("path", "db_type", "host", "port", "database_name", "project")
+
+
 def event_nodes(t):
     """One node per event: error events are unmatched, the others carry a template label."""
     return t.events.select(

@@ -160,3 +160,24 @@ def python_split(sql):
 def test_clauses(spark, sql):
     df = spark.createDataFrame([(sql,)], "t string")
     assert df.select(W.split_clauses("t")).first()[0] == python_split(sql)
+
+
+def test_connection_info(spark):
+    rows = [
+        ("a", "org.x.MySQLDBConnectorNodeFactory" + entry("databaseUrl", "jdbc:mysql://h:3306/db") + entry("user", "u")),
+        ("b", "org.x.JDBCConnectorNodeFactory" + entry("driver", "com.sybase.Driver") + entry("host", "own") + entry("url", "jdbc:sybase:Tds:h:5000")),
+        ("c", "org.x.BigQueryDBConnectorNodeFactory" + entry("database", "proj") + entry("port", "99")),
+        ("d", "org.x.DBLoaderNodeFactory" + entry("schema", "s") + entry("table", "t") + entry("driver", "&lt;none&gt;")),
+        ("e", "org.x.DBReaderNodeFactory" + entry("statement", "SELECT 1 /* INSTANCIA: srv */") + entry("driver", "org.inner.X")),
+        ("f", "org.x.JoinerNodeFactory"),
+    ]
+    df = spark.createDataFrame(rows, "path string, content string")
+    got = {r["path"]: r for r in W.connection_info(df, internal="org.inner").collect()}
+    assert sorted(got) == ["a", "b", "c", "d", "e"]
+    assert [got[k]["db_type"] for k in "abcde"] == ["mysql", "sybase", "bigquery", "db_loader", "db_reader"]
+    a, b, c, d = (got[k] for k in "abcd")
+    assert (a["host"], a["port"], a["database_name"], a["user"], a["is_connector"]) == ("h", 3306, "db", "u", True)
+    assert (b["host"], b["port"], b["subprotocol"]) == ("own", 5000, "sybase")
+    assert (c["project"], c["port"], c["is_load"]) == ("proj", 99, False)
+    assert (d["schema"], d["table"], d["is_load"], d["is_connector"]) == ("s", "t", True, False)
+    assert got["e"]["hint_instance"] == "srv" and got["e"]["driver"] is None
