@@ -1,7 +1,9 @@
 """Time every registered query.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (timed runs after one warm-up, default 3), BENCH_QUERIES (comma list).
+BENCH_RUNS (timed runs after one warm-up, default 3), BENCH_QUERIES (comma list),
+BENCH_SECONDS (default 300): queries that come when their share of this time is used up
+get one timed run.
 Prints one JSON line: per query the median seconds of a full materialisation, and
 their sum.
 """
@@ -35,10 +37,13 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
-    for name in names:
+    budget = float(os.environ.get("BENCH_SECONDS", "300"))
+    began, seconds = time.perf_counter(), {}
+    for i, name in enumerate(names):
         taken = []
-        for _ in range(runs + 1):
+        for run in range(runs + 1):
+            if run > 1 and time.perf_counter() - began > budget * (i + 1) / len(names):
+                break
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)

@@ -24,6 +24,12 @@ FACTORY = r"(?:org|com)\.[a-zA-Z0-9_.]+NodeFactory[a-zA-Z0-9_$]*"
 CONNECTOR_FACTORY = r"(?:org|com)\.[a-zA-Z0-9_.]+(?:Connector|Api)Factory[a-zA-Z0-9_$]*"
 PLACEHOLDER_OR_EDGE = r"(?s)^\s*(?:<.*>|\[Workflows edited.*)\s*$|^\s+|\s+$"
 JDBC_URL = r"(jdbc:[a-zA-Z0-9+:/_.\-@]+)"
+ADDRESS = r"//([^:/]+):?(\d+)?/?([^;?]*)"
+DATABASE_NAME = r"databaseName=([^;]+)"
+QUOTED_PROJECT = r"`([a-zA-Z0-9_-]+)\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+`"
+INSTANCE_HINT = r"INSTANCIA:\s*(\S+)"
+DATABASE_HINT = r"BANCO DE DADOS:\s*([^\n*]+)"
+NODE_NUMBER = r"\s*\(#\d+\)$"
 
 # Database factories recognised by content, in order.
 DATABASE_FACTORIES = (
@@ -251,18 +257,17 @@ def parse_jdbc_url(df: DataFrame, col: str) -> DataFrame:
     """
     url = quoted(col)
     parts = F.split(url, ":")
-    address = r"//([^:/]+):?(\d+)?/?([^;?]*)"
-    has_address = url.rlike(address)
+    has_address = url.rlike(ADDRESS)
     in_parts = ~has_address & (F.size(parts) >= 5)
-    port = F.when(has_address, first_match(url, address, 2)).when(
+    port = F.when(has_address, first_match(url, ADDRESS, 2)).when(
         in_parts, F.get(F.split(F.get(parts, F.lit(4)), "/"), F.lit(0))
     )
     return df.withColumns(
         {
             "subprotocol": F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))),
-            "host": F.when(has_address, first_match(url, address, 1)).when(in_parts, F.get(parts, F.lit(3))),
+            "host": F.when(has_address, first_match(url, ADDRESS, 1)).when(in_parts, F.get(parts, F.lit(3))),
             "port": port.try_cast("bigint"),
-            "database_name": F.coalesce(first_match(url, address, 3), first_match(url, r"databaseName=([^;]+)")),
+            "database_name": F.coalesce(first_match(url, ADDRESS, 3), first_match(url, DATABASE_NAME)),
         }
     )
 
@@ -288,13 +293,13 @@ def sql_hints(df: DataFrame, sql: str, database_name: str | None = None, databas
     """Add the hints a SQL text carries: ``project_from_sql`` (back-quoted three-part name),
     ``hint_instance``, ``hint_database`` (comments) and ``project``, for which the
     database columns come first."""
-    project = first_match(sql, r"`([a-zA-Z0-9_-]+)\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+`")
+    project = first_match(sql, QUOTED_PROJECT)
     named = [F.nullif(quoted(c), F.lit("")) for c in (database_name, database) if c]
     return df.withColumns(
         {
             "project_from_sql": project,
-            "hint_instance": first_match(sql, r"INSTANCIA:\s*(\S+)"),
-            "hint_database": strip(first_match(sql, r"BANCO DE DADOS:\s*([^\n*]+)")),
+            "hint_instance": first_match(sql, INSTANCE_HINT),
+            "hint_database": strip(first_match(sql, DATABASE_HINT)),
             "project": F.coalesce(*named, project),
         }
     )
@@ -321,7 +326,7 @@ def node_inventory(docs: DataFrame, path: str = "path", content: str = "content"
     folder = F.get(F.reverse(F.split(quoted(path), "/")), F.lit(1))
     reads = reduce(Column.__or__, [text.contains(f) for f in ("DBReader", "DBQueryReader", "DatabaseLooping")])
     found = docs.withColumns(
-        {"name": F.regexp_replace(folder, r"\s*\(#\d+\)$", ""), "factory": factory}
+        {"name": F.regexp_replace(folder, NODE_NUMBER, ""), "factory": factory}
     ).where("factory IS NOT NULL")
     found = extract_sql(found, content, "sql", search_text=False)
     return found.select(quoted(path).alias("path"), "name", "factory", F.when(reads, F.col("sql")).alias("sql"))

@@ -144,7 +144,7 @@ def _(t):
 @query(
     "connection_info",
     "SELECT '/c/' || c_custkey AS path, CASE c_nationkey % 3 WHEN 0 THEN 'mysql' WHEN 1 THEN 'postgres' ELSE 'bigquery' END AS db_type,"
-    " CASE c_nationkey % 3 WHEN 2 THEN NULL ELSE 'h' || c_nationkey END AS host, CASE c_nationkey % 3 WHEN 2 THEN NULL ELSE 1000 + c_nationkey END AS port,"
+    " CASE c_nationkey % 3 WHEN 2 THEN NULL ELSE 'h' || c_nationkey END AS host, CASE c_nationkey % 3 WHEN 2 THEN NULL ELSE CAST(1000 + c_nationkey AS BIGINT) END AS port,"
     " CASE c_nationkey % 3 WHEN 2 THEN NULL ELSE c_mktsegment END AS database_name,"
     " CASE c_nationkey % 3 WHEN 2 THEN c_mktsegment END AS project FROM customer",
 )
