@@ -45,8 +45,8 @@ def date_diff(df: DataFrame, a: str, b: str, granularity: str = "DAYS", out: str
     check_columns(df, [a, b])
     unit, micros = granularity.upper(), micros_between(quoted(b), quoted(a))
     if "DAY" in unit:
-        days = (micros - F.pmod(micros, F.lit(DAY))) / F.lit(DAY)
-        return df.withColumn(out, days.cast("bigint"))
+        whole = micros - F.pmod(micros, F.lit(DAY))
+        return df.withColumn(out, F.call_function("div", whole, F.lit(DAY)))
     if "HOUR" in unit:
         return df.withColumn(out, micros / F.lit(HOUR))
     return df.withColumn(out, quoted(a).cast("timestamp_ntz") - quoted(b).cast("timestamp_ntz"))

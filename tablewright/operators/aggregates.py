@@ -145,8 +145,8 @@ def group_by(
         if not keys:
             out = out.withColumn(c, part.scalar())
             continue
-        part = part.toDF(*[f"__k{i}" for i in range(len(keys))], c)
-        out = out.join(part, same_keys([(k, f"__k{i}") for i, k in enumerate(keys)]), "left")
+        names = [f"__k{i}" for i in range(len(keys))]
+        out = out.join(part.toDF(*names, c), same_keys(list(zip(keys, names))), "left").drop(*names)
     return out.select(*group, *[quoted(c) for c in methods])
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..missing import as_list, check_columns, numeric_columns, order_columns, quoted, type_of, without_nan
+from ..missing import as_list, check_columns, numeric_columns, order_columns, quoted, without_nan
 from .ranking import BEFORE, unique_positions, weights_before
 
 
@@ -73,11 +73,13 @@ def counter(
     check_columns(df, order_by)
     number = lambda position: (position + F.lit(start)).cast("bigint").alias(name)
     keep = [quoted(c) for c in df.columns if c != name]
-    if unique:
+    # Maps cannot be compared, so copies of rows that hold one cannot be counted.
+    incomparable = any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema.fields)
+    if unique or incomparable:
         return unique_positions(df, order_by, ascending).select(*keep, number(F.col(BEFORE)))
 
     flags = [ascending] * len(order_by) if isinstance(ascending, bool) else list(ascending)
-    ties = [c for c in df.columns if c not in order_by and not isinstance(type_of(df, c), (T.MapType, T.VariantType))]
+    ties = [c for c in df.columns if c not in order_by]
     copies = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("__copies"))
     placed = weights_before(copies, [], [*order_by, *ties], "__copies", flags + [True] * len(ties))
     # Unfold the copies in two steps; a long run is cut into blocks that move to other tasks.

@@ -52,6 +52,14 @@ def test_missing_groups_and_values(spark):
     assert got == {"g1": 3.5, "g2": None, None: -2.7}
 
 
+def test_medians_and_modes_together(spark):
+    got = group_by(hot(spark), "key", {"value": "median", "id": "mode"}, keep_null_keys=True).toPandas()
+    want = frame().groupby("key", dropna=False).agg({"value": "median", "id": "min"}).reset_index()
+    got, want = (f.astype({"key": "Int64"}).sort_values("key") for f in (got, want))
+    np.testing.assert_allclose(got["value"], want["value"])
+    assert list(got["id"]) == list(want["id"])
+
+
 def test_mode_ties_take_the_smallest(spark):
     df = spark.createDataFrame([(1, 3), (1, 2), (1, 3), (1, 2), (2, None)], "k int, v int")
     assert sorted(tuple(r) for r in group_by(df, "k", {"v": "mode"}).collect()) == [(1, 2), (2, None)]

@@ -75,6 +75,9 @@ def test_counter_with_copies(spark):
     copies = spark.range(250_001).select(F.lit("same").alias("t"))
     stats = counter(copies, "t").agg(F.count_distinct("counter"), F.min("counter"), F.max("counter")).first()
     assert tuple(stats) == (250_001, 1, 250_001)
+    mapped = spark.range(10).select("id", F.create_map(F.lit("k"), "id").alias("m"), F.array("id").alias("a"))
+    assert sorted(r["counter"] for r in counter(mapped, "id").collect()) == list(range(1, 11))
+    assert sort_rows(mapped, "id", False).first()["id"] == 9
     assert counter(edge_empty(spark), "n").count() == 0
     assert counter(edge_empty(spark), "n", unique=True).count() == 0
 
