@@ -18,7 +18,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from tablewright import configure, release_materialized
+from tablewright import configure, intermediate_tables
 from tablewright.plans import QUERIES
 
 
@@ -45,9 +45,9 @@ def main() -> None:
             if run > 1 and time.perf_counter() - began > budget * (i + 1) / len(names):
                 break
             start = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            taken.append(time.perf_counter() - start)
-            release_materialized(spark)
+            with intermediate_tables(spark):
+                QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+                taken.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(taken[1:]), 4)
         print(f"{seconds[name]:8.3f} {name}", file=sys.stderr, flush=True)
     print(

@@ -59,7 +59,7 @@ from .operators.rows import (
     sort_rows,
     top_n,
 )
-from .session import configure, materialize, release_materialized, shared_dir
+from .session import configure, intermediate_tables, materialize, shared_dir
 from .sources.files import read_log_lines, read_run_results, report_lines, scan_docs, write_report
 from .sources.sql import NamedQueries, named_queries, read_sql
 from .sources.tables import jdbc_options, read_jdbc, read_table, write_table

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,37 +17,34 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_local_dir: str | None = None
-_written: list[str] = []
+_folders: dict[str, str] = {}  # by application: the folder that the caller gave
+_scopes: list[list[str]] = []  # paths written in each open scope, innermost last
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply :data:`SETTINGS` to the session and return it."""
+def configure(spark: SparkSession, folder: str | None = None) -> SparkSession:
+    """Apply :data:`SETTINGS` to the session and return it.
+
+    ``folder`` is the place of intermediate tables, one that every executor can reach.
+    """
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if folder:
+        _folders[spark.conf.get("spark.app.id", "")] = folder
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names.
-
-    Only a local session without a setting gets a folder of its own.
-    """
-    global _local_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="tablewright-")
-    return _local_dir
+    """Folder for intermediate tables: that given to :func:`configure`, else that in
+    ``spark.checkpoint.dir``, else one below the warehouse."""
+    given = _folders.get(spark.conf.get("spark.app.id", "")) or spark.conf.get("spark.checkpoint.dir", None)
+    return (given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate").rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/tablewright-{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
@@ -62,15 +60,26 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_materialized(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this process; call it after the last action."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    released = 0
-    while _written:
-        target = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        released += bool(target.getFileSystem(conf).delete(target, True))
-    return released
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a table written by :func:`materialize`, on whatever file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
+
+
+@contextlib.contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Scope of intermediate tables: those written inside are deleted when it is left.
+
+    Finish every action on the frames made inside before leaving.  Scopes nest; tables
+    written outside any scope stay until the caller deletes the folder.
+    """
+    _scopes.append(mine := [])
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            delete_path(spark, path)
 
 
 def fits_broadcast(df: DataFrame) -> bool:

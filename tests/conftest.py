@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 def new_session() -> SparkSession:
+    folder = tempfile.mkdtemp(prefix="tests-")
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("tablewright-tests")
@@ -17,6 +19,8 @@ def new_session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"{folder}/shared")
+        .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
