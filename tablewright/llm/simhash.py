@@ -111,7 +111,10 @@ def near_components(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``id_col, fingerprint, component_id`` from a table of fingerprints: components of the
     links at distance 3 or less, named by their smallest id."""
     prints = materialize(prints, "fingerprints")
-    distinct = materialize(prints.groupBy("fingerprint").agg(F.min(quoted(id_col)).alias("least")), "distinct")
+    distinct = prints.groupBy("fingerprint").agg(F.min(quoted(id_col)).alias("least"))
+    # Each row is about to become hundreds, so the few bytes of this table go to all tasks.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = materialize(distinct.repartition(tasks, "fingerprint"), "distinct")
     roots = component_roots(ball_links(distinct))
     # Fingerprints without a neighbour are their own component.
     rooted = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
