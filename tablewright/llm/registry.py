@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "exact_dedup", "mixing", "bpe", "simhash", "chat", "url_filter")
+MODULES = ("quality", "neighbours", "exact_dedup", "bpe", "simhash", "chat", "url_filter", "mixing")
 
 CORPUS_QUERIES: dict = {}
 CORPUS_ORACLE: dict = {}
