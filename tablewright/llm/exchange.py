@@ -31,12 +31,15 @@ def sizes(docs: DataFrame, text: Column) -> tuple[int, int]:
     return max(1, -(-total // CELL_BYTES)), max(1, -(-total // BUCKET_BYTES))
 
 
-def in_cells(docs: DataFrame, id_column: Column, text_column: Column, cells: int) -> DataFrame:
-    """``cell, id, known, text``: ids that are never null, with a mark for those that were not."""
+def in_cells(docs: DataFrame, id_column: Column, text_column: Column, cells: int, by_id: bool = False) -> DataFrame:
+    """``cell, id, known, text``: ids that are never null, with a mark for those that were not.
+
+    Rows are dealt by id and text, or with ``by_id`` so that all rows of an id meet in a cell.
+    """
     text = F.coalesce(text_column.cast("string"), F.lit(""))
     key = F.coalesce(id_column.cast("bigint"), F.lit(int(NO_ID)))
     return docs.select(
-        F.pmod(F.xxhash64(key, text), F.lit(cells)).cast("int").alias("cell"),
+        F.pmod(F.xxhash64(key) if by_id else F.xxhash64(key, text), F.lit(cells)).cast("int").alias("cell"),
         key.alias("id"),
         id_column.isNotNull().alias("known"),
         text.alias("text"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "anchors", "neighbours", "exact_dedup", "bpe", "simhash", "chat", "url_filter", "mixing")
+MODULES = ("quality", "anchors", "neighbours", "exact_dedup", "bpe", "simhash", "chat", "repeats", "url_filter", "mixing")
 
 CORPUS_QUERIES: dict = {}
 CORPUS_ORACLE: dict = {}

@@ -1,0 +1,133 @@
+"""Removed bytes and the index against plain versions."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from tablewright.llm import exchange, repeats
+
+
+def expected(rows, length=100):
+    """Rows in order of id (null last) and text; the first place of each window stays."""
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    seen, out = set(), []
+    for i, t in ordered:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for s in range(len(raw) - length + 1):
+            window = raw[s : s + length]
+            if window in seen:
+                gone[s : s + length] = True
+            seen.add(window)
+        kept = bytes(b for b, g in zip(raw, gone.tolist()) if not g)
+        spans = int((np.diff(np.concatenate(([False], gone)).astype(int)) == 1).sum())
+        out.append((i, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def run(spark, rows, **options):
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as cell", "'x' as id")
+    outputs = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return sorted((tuple(r) for r in repeats.remove_repeated_bytes(df, outputs=outputs, **options).collect()), key=str)
+
+
+def made_rows(n):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 9)))
+    shared = [" ".join(word() for _ in range(k)) for k in (20, 25, 40, 200)] + ["na" * 90, "x" * 130]
+    rows = []
+    for i in range(n):
+        parts = [rng.choice(shared)[rng.choice([0, 0, 3, 17]) :] if rng.random() < 0.4 else word() for _ in range(6)]
+        rows.append((i, "|".join(parts)))
+    rows += [(None, rows[3][1]), (None, rows[3][1]), (7, rows[9][1]), (7, rows[9][1]), (n, None), (n + 1, ""), (n + 2, "y" * 99)]
+    return rows + [(n + 3, "y" * 300), (n + 4, "é" * 200)]
+
+
+@pytest.mark.parametrize("crowd,piece", [(512, 1 << 20), (1, 1 << 20), (2, 256)])
+def test_made_rows(spark, monkeypatch, crowd, piece):
+    monkeypatch.setattr(exchange, "CELL_BYTES", 4000)
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 12_000)
+    rows = made_rows(120)
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    # Tasks have the constants of their own process, so changed ones are tested without Spark.
+    assert local_cells(rows, 100) == expected(rows)
+    assert local_cells(rows, 40) == expected(rows, 40)
+    if crowd == 512:
+        assert run(spark, rows) == expected(rows)
+        assert run(spark, rows, length=40) == expected(rows, 40)
+
+
+def local_cells(rows, length, cells=5, buckets=3):
+    """The steps of the operator without Spark, so that constants can be changed."""
+    import pyarrow as pa
+
+    dealt = [[] for _ in range(cells)]
+    for i, t in rows:
+        dealt[(i or 0) % cells].append((repeats.np.iinfo(np.int64).max if i is None else i, i is not None, t or ""))
+    tables = [pa.table({"id": [r[0] for r in d], "known": [r[1] for r in d], "text": [r[2] for r in d]}) for d in dealt]
+    made = [repeats._Cell(t, length, buckets) for t in tables]
+
+    def meet(packed, judge):
+        out = []
+        for bucket in sorted(set(packed["bucket"].to_pylist())):
+            out.append(judge(bucket, packed.filter(pa.compute.equal(packed["bucket"], bucket))))
+        return out
+
+    import pyarrow.compute  # noqa: F401
+
+    first = pa.concat_tables(meet(pa.concat_tables([c.pack_segments(n) for n, c in enumerate(made)]), repeats._meet_segments))
+    mine = lambda answers, n: answers.filter(pa.compute.equal(answers["cell"], n))
+    packed = pa.concat_tables([c.pack_texts(n, mine(first, n)) for n, c in enumerate(made)])
+    second = meet(packed, lambda b, t: repeats._meet_texts(b, t, length) if b < buckets else repeats._meet_windows(b, t))
+    answers = pa.concat_tables([first, *second])
+    out = []
+    for n, c in enumerate(made):
+        for i, known, text, gone in zip(c.ids.tolist(), c.known.tolist(), c.texts, c.removed_bytes(mine(answers, n))):
+            d = repeats._document(text, gone)
+            out.append((i if known else None, d["n_bytes"], d["n_removed"], d["n_spans"], d["kept_sha256"]))
+    return sorted(out, key=str)
+
+
+def test_query(spark, monkeypatch):
+    monkeypatch.setattr(exchange, "CELL_BYTES", 60_000)
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 200_000)
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in repeats.op8_repeats(spark, folder).collect()), key=str)
+    assert got == expected(rows) and sum(r[2] for r in got) > 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=80))
+def test_index(symbols):
+    text = np.array(symbols, np.uint16)
+    index = repeats.RunLengthIndex(text)
+    suffixes = sorted(range(len(symbols)), key=lambda i: symbols[i:])
+    transform = [symbols[i - 1] if i else repeats.END for i in suffixes]
+    assert np.repeat(index.heads, index.lengths).tolist() == transform
+    assert all(a != b for a, b in zip(index.heads, index.heads[1:]))
+    match, before = index.matching_statistics()
+    for i, j in zip(suffixes, [None, *suffixes]):
+        if j is not None:
+            n = 0
+            while max(i, j) + n < len(symbols) and symbols[i + n] == symbols[j + n]:
+                n += 1
+            assert (match[i], before[i]) == (n, j)
+    for length in (1, 3):
+        first = repeats.first_places(text, length)
+        for p in range(len(symbols) - length + 1):
+            same = [q for q in range(p + 1) if symbols[q : q + length] == symbols[p : p + length]]
+            assert first[p] == same[0]
+
+
+def test_spans_and_empty(spark):
+    shared = "".join(chr(97 + i % 26) + str(i) for i in range(60))
+    df = spark.createDataFrame([(1, f"é{shared}!"), (2, f"?{shared}ü")], "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.remove_repeated_bytes(df).collect()}
+    assert [tuple(s) for s in got[2].spans] == [(1, 1 + len(shared))] and bytes(got[2].kept_bytes) == "?ü".encode()
+    assert got[1].n_removed == 0
+    assert repeats.remove_repeated_bytes(df.where("false")).count() == 0
