@@ -25,10 +25,11 @@ PACKED = "cell int, bucket int, entries binary, extra binary"
 ANSWER = "cell int, bucket int, kind string, bits binary"
 
 
-def sizes(docs: DataFrame, text: Column) -> tuple[int, int]:
-    """Numbers of cells and buckets for the bytes of text that the table holds."""
+def sizes(docs: DataFrame, text: Column, bucket_share: int = 1) -> tuple[int, int]:
+    """Numbers of cells and buckets for the bytes of text that the table holds;
+    ``bucket_share`` buckets take the bytes of one."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, -(-total // CELL_BYTES)), max(1, -(-total // BUCKET_BYTES))
+    return max(1, -(-total // CELL_BYTES)), max(1, -(-total * bucket_share // BUCKET_BYTES))
 
 
 def in_cells(docs: DataFrame, id_column: Column, text_column: Column, cells: int, by_id: bool = False) -> DataFrame:

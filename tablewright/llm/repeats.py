@@ -397,7 +397,7 @@ def remove_repeated_bytes(
 ) -> DataFrame:
     """``id_col`` and the chosen ``outputs`` per document: bytes, removed bytes, the maximal removed
     runs as byte places (end exclusive) and their number, and the bytes that are left."""
-    cells, buckets = sizes(docs, quoted(text_col))
+    cells, buckets = sizes(docs, quoted(text_col), bucket_share=3)  # an index takes 60 bytes a byte
     grouped = in_cells(docs, quoted(id_col), quoted(text_col), cells, by_id=True).groupBy("cell")
 
     def segments(key, table):
