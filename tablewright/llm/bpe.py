@@ -38,7 +38,8 @@ from .common import corpus_table, free_name
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 CACHED_LENGTH = 40
-CACHED_PIECES = 150_000
+CACHED_PIECES = 60_000
+ROWS = 256  # documents whose ids are held at once
 
 
 def byte_symbols() -> str:
@@ -204,7 +205,7 @@ def encode_texts(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             rows = {name: [] for name in outputs}
             for text in batch.column("text"):
                 ids = encoder.encode(text.as_py() or "")
