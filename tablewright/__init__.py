@@ -38,7 +38,7 @@ from .operators.filters import (
     rule_filter,
     split_rows,
 )
-from .operators.joins import cross_join, join_by_flags, join_tables
+from .operators.joins import join_by_flags, join_tables
 from .operators.params import (
     param_sweep,
     params_to_table,

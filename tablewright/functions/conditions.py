@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..missing import as_list, check_columns, numeric_columns, quoted, type_of, value
+from ..missing import as_list, check_columns, numeric_columns, quoted, type_of, value, with_tests
 from ..operators.rows import counter
 
 DEFAULT_TEXT = "Unknown"
@@ -32,28 +32,49 @@ def rule_column(
     or columns.  Without a default, text outcomes fall back to "Unknown" and others
     to missing.
     """
-    chain, texts = None, []
+    chosen = []
     for cond, outcome in rules:
         if isinstance(cond, str) and cond.strip().upper() in ("TRUE", "FALSE"):
             default = outcome
-            continue
-        texts.append(isinstance(outcome, str))
-        test, result = _condition(cond), _outcome(outcome)
-        chain = F.when(test, result) if chain is None else chain.when(test, result)
-    if default is None and texts and all(texts):
-        default = DEFAULT_TEXT
-    if chain is None:
+        else:
+            chosen.append((cond, outcome))
+    if not chosen:
         return df.withColumn(name, _outcome(DEFAULT_TEXT if default is None else default))
-    return df.withColumn(name, chain.otherwise(_outcome(default)))
+    outcomes = [_outcome(o) for _, o in chosen]
+    types = [f.dataType for f in df.select(*[o.alias(f"c{i}") for i, o in enumerate(outcomes)]).schema.fields]
+    if default is None and all(isinstance(t, T.StringType) for t in types):
+        default = DEFAULT_TEXT
+    *outcomes, default = _one_kind(df, [*outcomes, _outcome(default)])
+    tested, tests = with_tests(df, [c for c, _ in chosen])
+    chain = F.when(tests[0], outcomes[0])
+    for test, outcome in zip(tests[1:], outcomes[1:]):
+        chain = chain.when(test, outcome)
+    return _named(df, tested, {name: chain.otherwise(default)})
+
+
+def _one_kind(df: DataFrame, outcomes: list[Column]) -> list[Column]:
+    """The outcomes, all as text if one of them is text."""
+    fields = df.select(*[o.alias(f"c{i}") for i, o in enumerate(outcomes)]).schema.fields
+    if any(isinstance(f.dataType, T.StringType) for f in fields):
+        return [o.cast("string") for o in outcomes]
+    return outcomes
+
+
+def _named(df: DataFrame, tested: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``df`` with the columns, which may read the tests."""
+    out = tested.withColumns(dict(columns))
+    return out.select(*[quoted(c) for c in [*df.columns, *[n for n in columns if n not in df.columns]]])
 
 
 def if_else_columns(df: DataFrame, cond: str | Column, outputs: Mapping[str, tuple]) -> DataFrame:
-    """Several columns by one condition: ``{name: (then, else)}``, a ``None`` branch is 0."""
-    test = _condition(cond)
-    branch = lambda b: F.lit(0) if b is None else _outcome(b)
-    return df.withColumns(
-        {n: F.when(test, branch(then)).otherwise(branch(other)) for n, (then, other) in outputs.items()}
-    )
+    """Several columns by one condition: ``{name: (then, else)}``, a ``None`` branch is 0, or "0"
+    beside a text."""
+    tested, (test,) = with_tests(df, [cond])
+    columns = {}
+    for name, pair in outputs.items():
+        then, other = _one_kind(df, [F.lit(0) if b is None else _outcome(b) for b in pair])
+        columns[name] = F.when(test, then).otherwise(other)
+    return _named(df, tested, columns)
 
 
 def math_column(df: DataFrame, name: str, expr: str | Column) -> DataFrame:
@@ -68,6 +89,8 @@ def power(base, exponent) -> Column:
 
 
 def math_if(cond: str | Column, then, other) -> Column:
+    """A column by one condition, which sees the columns as they are; for conditions that
+    count NaN as missing use :func:`rule_column` or :func:`if_else_columns`."""
     return F.when(_condition(cond), _outcome(then)).otherwise(_outcome(other))
 
 

@@ -10,6 +10,13 @@ from ..missing import quoted
 from .conditions import parse_bigint, parse_double
 
 
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def _col(col: str | Column) -> Column:
     return quoted(col) if isinstance(col, str) else col
 
@@ -57,8 +64,8 @@ def length(col: str | Column) -> Column:
 
 
 def strip(col: str | Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(_col(col), r"^\s+|\s+$", "")
+    """Without white space at both ends, that of Unicode included."""
+    return F.btrim(_col(col), F.lit(WHITE_SPACE))
 
 
 def replace(col: str | Column, old: str, new: str, regex: bool = False) -> Column:
@@ -81,7 +88,13 @@ def join_text(sep: str, *cols: str | Column, skip_missing: bool = True) -> Colum
 
 
 def to_string(col: str | Column) -> Column:
-    return _col(col).cast("string")
+    """As text; missing stays missing, NaN included."""
+    return F.when(~_is_nan(_col(col)), _col(col).cast("string"))
+
+
+def _is_nan(col: Column) -> Column:
+    """True for NaN; false for all else, whatever its type."""
+    return F.typeof(col).isin("float", "double") & F.coalesce(col.cast("string") == "NaN", F.lit(False))
 
 
 def to_int(col: str | Column) -> Column:
@@ -93,7 +106,8 @@ def to_double(col: str | Column) -> Column:
 
 
 def missing(col: str | Column) -> Column:
-    return _col(col).isNull()
+    """Whether the value is missing: NULL, or NaN in a float column."""
+    return _col(col).isNull() | _is_nan(_col(col))
 
 
 def split_cell(df: DataFrame, col: str, sep: str = ",", n: int | None = None) -> DataFrame:

@@ -161,28 +161,14 @@ def decode_escapes(col: str | Column) -> Column:
     """Replace ``%%ddddd`` by the character of that decimal code.
 
     Codes of surrogate halves are no characters of a text and stay as they are.
-    A text with few different codes is treated code by code.  That is exact unless a
-    code stands for a digit or ``%``, which could complete another escape; such texts,
-    and those with many codes, are cut at the escapes and put together again.
+    The text is cut at the escapes; each piece starts with its code.
     """
     text = _col(col)
-    risky = F.array(*[F.lit(f"{ord(c):05d}") for c in "%0123456789"])
-
-    def by_code(codes: Column) -> Column:
-        return F.aggregate(
-            codes, text, lambda done, code: F.replace(done, F.concat(F.lit("%%"), code), _character(code))
-        )
-
     pieces = F.split(text, r"%%(?=[0-9]{5})")
     rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
     decoded = lambda piece: F.concat(_character(F.substring(piece, 1, 5)), F.substring(piece, 6, 2**31 - 1))
-    by_piece = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, decoded), ""))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("%%([0-9]{5})"), 1))
-    chosen = _bind(
-        found,
-        lambda codes: F.when((F.size(codes) <= 32) & ~F.arrays_overlap(codes, risky), by_code(codes)).otherwise(by_piece),
-    )
-    return F.when(text.contains("%%"), chosen).otherwise(text)
+    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, decoded), ""))
+    return F.when(text.contains("%%"), whole).otherwise(text)
 
 
 def encode_escapes(col: str | Column, chars: str = " ") -> Column:

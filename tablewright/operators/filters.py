@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..missing import is_float, is_missing, quoted, type_of
+from ..missing import is_float, is_missing, quoted, type_of, with_tests
 
 # Comparison names of the row splitter.
 SPLIT_OPERATORS = ("EQ", "NEQ", "LT", "LTE", "GT", "GTE", "LIKE")
@@ -105,15 +105,14 @@ def rule_filter(df: DataFrame, rules: Sequence[tuple[str | Column, bool]]) -> Da
     """Keep rows for which any rule holds.
 
     ``(cond, True)`` holds where the condition is true, ``(cond, False)`` where it
-    is not.  Conditions are Spark SQL text or columns; an unknown condition is false.
+    is not.  Conditions are Spark SQL text or columns, and see NaN as missing; an unknown
+    condition is false.
     """
     if not rules:
         return df
-    tests = []
-    for cond, keep in rules:
-        test = F.coalesce(F.expr(cond) if isinstance(cond, str) else cond, F.lit(False))
-        tests.append(test if keep else ~test)
-    return df.filter(reduce(Column.__or__, tests))
+    tested, tests = with_tests(df, [cond for cond, _ in rules])
+    held = [test if keep else ~test for test, (_, keep) in zip(tests, rules)]
+    return tested.filter(reduce(Column.__or__, held)).select(*[quoted(c) for c in df.columns])
 
 
 def filter_ci(df: DataFrame, col: str, name: str) -> DataFrame:

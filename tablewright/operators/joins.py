@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..missing import as_list, check_columns, quoted, same_keys, without_nan
-from ..session import fits_broadcast
 
 JOIN_KINDS = {
     "inner": (True, False, False),
@@ -63,7 +62,8 @@ def join_by_flags(
 
     Without keys, all common column names are the keys.  A key pair of one name
     appears once; pairs of different names keep both columns.  Other common names
-    get the suffixes.  ``null_safe=False`` lets missing keys match nothing.
+    get the suffixes.  ``null_safe=False`` lets missing keys match nothing; by default
+    they match each other, so many missing keys on both sides give their product.
     """
     pairs = _key_pairs(left, right, left_on, right_on)
     shared = {l for l, r in pairs if l == r}
@@ -78,8 +78,6 @@ def join_by_flags(
         raise ValueError(f"the suffixes {suffixes} leave repeated names in {names}")
 
     def both(how: str) -> DataFrame:
-        # Qualified names instead of renamed sides: the shuffles below the join stay
-        # equal to those of the unmatched parts and are reused.
         cond = None
         for l, r in pairs:
             a, b = _side("__l", l), _side("__r", r)
@@ -101,11 +99,6 @@ def join_by_flags(
             cols.append((F.lit(None).cast(absent) if c is None else quoted(c)).alias(name))
         return _unmatched(side, other, keys, null_safe).select(*cols)
 
-    flags = (matches, left_unmatched, right_unmatched)
-    if flags == JOIN_KINDS["left"] and fits_broadcast(right):
-        return both("left")
-    if flags == JOIN_KINDS["right"] and fits_broadcast(left):
-        return both("right")
     parts = []
     if matches:
         parts.append(both("inner"))
@@ -131,32 +124,3 @@ def join_tables(
     if how not in JOIN_KINDS:
         raise ValueError(f"how is one of {list(JOIN_KINDS)}, not {how!r}")
     return join_by_flags(left, right, left_on, right_on, *JOIN_KINDS[how], null_safe, suffixes)
-
-
-def cross_join(
-    left: DataFrame,
-    right: DataFrame,
-    max_rows: int = 10_000,
-    suffixes: tuple[str, str] = ("_x", "_y"),
-) -> DataFrame:
-    """Every left row with every row of a small right table.
-
-    ``right`` is counted first, up to ``max_rows`` + 1; it becomes one array that
-    each left row unfolds in place, so the large side is neither shuffled nor
-    joined.  Two large tables are refused: their product has no scalable plan.
-    """
-    if right.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"the right table of a product may hold {max_rows} rows; swap the sides or join on keys")
-    clash = set(left.columns) & set(right.columns)
-    l_out = [c + suffixes[0] if c in clash else c for c in left.columns]
-    r_out = [c + suffixes[1] if c in clash else c for c in right.columns]
-    names = l_out + r_out
-    if len(set(names)) != len(names):
-        raise ValueError(f"the suffixes {suffixes} leave repeated names in {names}")
-    renamed = right.toDF(*[f"c{i}" for i in range(len(r_out))])
-    table = renamed.agg(F.collect_list(F.struct("*")).alias("rows")).scalar()
-    product = left.toDF(*l_out).select("*", F.explode(table).alias("__right"))
-    return product.select(
-        *[quoted(c) for c in l_out],
-        *[F.col("__right")[f"c{i}"].alias(c) for i, c in enumerate(r_out)],
-    )

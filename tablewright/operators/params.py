@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..missing import as_list, check_columns, order_columns, quoted, same_keys
+from ..missing import as_list, check_columns, order_columns, quoted, value, without_nan
 from .rows import first_row
 
 
@@ -83,8 +84,8 @@ def query_by_keys(
     pairs = list(zip(as_list(source_on) or on, on))
     check_columns(source, [s for s, _ in pairs])
     check_columns(keys_df, on)
-    keys = keys_df.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(on)]).distinct()
-    cond = same_keys([(s, f"__k{i}") for i, (s, _) in enumerate(pairs)], null_safe=False)
+    keys = without_nan(keys_df, on).select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(on)]).distinct()
+    cond = reduce(Column.__and__, [value(source, s) == F.col(f"__k{i}") for i, (s, _) in enumerate(pairs)])
     return source.join(keys, cond, "left_semi")
 
 

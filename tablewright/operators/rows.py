@@ -13,14 +13,14 @@ from .ranking import BEFORE, unique_positions, weights_before
 
 
 def sort_rows(
-    df: DataFrame, cols: Sequence[str] | str, ascending: bool | Sequence[bool] = True, copies: bool = True
+    df: DataFrame, cols: Sequence[str] | str, ascending: bool | Sequence[bool] = True, copies: bool = False
 ) -> DataFrame:
     """Sort by several keys, a direction per key, missing values last.
 
     Rows with equal keys are ordered by a hash of the row, so the range shuffle can
-    spread a key value that many rows share.  Copies of one row are spread by their
-    place in the task; a local sort makes that place the same in a repeated task.
-    Say ``copies=False`` for a table without many equal rows to save that sort.
+    spread a key value that many rows share.  With ``copies=True`` copies of one row are
+    spread too, by their place in the task; a local sort makes that place the same in a
+    repeated task.
     """
     check_columns(df, as_list(cols))
     order = order_columns(df, cols, ascending)

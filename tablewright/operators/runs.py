@@ -104,9 +104,10 @@ def resolve_attempts(
     keys: Sequence[str] | str,
     attempt: str = "attempt",
     status: str = "status",
-    max_attempts: int = 3,
+    max_attempts: int | None = None,
 ) -> DataFrame:
-    """The attempt that counts: the first success among ``max_attempts``, else the last of them.
+    """The attempt that counts: the first success, else the last one; with ``max_attempts`` later
+    attempts do not count.
 
     The choice is an aggregate with one row of state per key, not a window over the key.
     """
@@ -120,7 +121,7 @@ def resolve_attempts(
     rest = [c for c in runs.columns if c not in keys]
     chosen = F.min_by(F.struct(*[quoted(c) for c in rest]), place).alias("__run")
     return (
-        runs.where(quoted(attempt) <= max_attempts)
+        (runs if max_attempts is None else runs.where(quoted(attempt) <= max_attempts))
         .groupBy(*[quoted(k) for k in keys])
         .agg(chosen)
         .select(*[quoted(c) if c in keys else F.col("__run")[c].alias(c) for c in runs.columns])

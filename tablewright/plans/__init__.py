@@ -1,4 +1,4 @@
 """Queries over the supplied tables, one per operator."""
 
-from . import columns, documents, grouping, joining, runs, shape, sources  # noqa: F401  (they register themselves)
+from . import columns, missing_values, documents, grouping, joining, runs, shape, sources  # noqa: F401  (they register themselves)
 from .registry import ORACLE, QUERIES

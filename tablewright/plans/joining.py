@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import group_by
-from ..operators.joins import cross_join, join_by_flags, join_tables
+from ..operators.joins import join_by_flags, join_tables
 from ..operators.params import (
     param_sweep,
     params_to_table,
@@ -19,14 +19,16 @@ def customers(t):
     return t.customer.select(F.col("c_custkey").alias("custkey"), "c_name", "c_mktsegment")
 
 
-def big_orders(t):
-    return t.orders.where("o_totalprice > 450000").select(
-        F.col("o_custkey").alias("custkey"), "o_orderkey", "o_totalprice"
-    )
+# A seventh of the orders gets a customer key that no customer has.
+ORDER_KEY = "CASE WHEN o_orderkey % 7 = 0 THEN -o_custkey ELSE o_custkey END"
+
+
+def keyed_orders(t):
+    return t.orders.select(F.expr(ORDER_KEY).alias("custkey"), "o_orderkey", "o_totalprice")
 
 
 CUST = "(SELECT c_custkey AS custkey, c_name, c_mktsegment FROM customer) AS c"
-ORD = "(SELECT o_custkey AS custkey, o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 450000) AS o"
+ORD = f"(SELECT {ORDER_KEY} AS custkey, o_orderkey, o_totalprice FROM orders) AS o"
 JOINED = "custkey, c_name, c_mktsegment, o_orderkey, o_totalprice"
 
 
@@ -43,17 +45,17 @@ def _(t):
 
 @query("join_left", f"SELECT {JOINED} FROM {CUST} LEFT JOIN {ORD} USING (custkey)")
 def _(t):
-    return join_tables(customers(t), big_orders(t), "custkey", how="left")
+    return join_tables(customers(t), keyed_orders(t), "custkey", how="left")
 
 
-@query("join_right", f"SELECT {JOINED} FROM (SELECT * FROM {CUST} WHERE c_mktsegment = 'BUILDING') AS c RIGHT JOIN {ORD} USING (custkey)")
+@query("join_right", f"SELECT {JOINED} FROM {CUST} RIGHT JOIN {ORD} USING (custkey)")
 def _(t):
-    return join_tables(customers(t).where("c_mktsegment = 'BUILDING'"), big_orders(t), "custkey", how="right")
+    return join_tables(customers(t), keyed_orders(t), "custkey", how="right")
 
 
-@query("join_outer", f"SELECT {JOINED} FROM (SELECT * FROM {CUST} WHERE c_mktsegment = 'BUILDING') AS c FULL JOIN {ORD} USING (custkey)")
+@query("join_outer", f"SELECT {JOINED} FROM {CUST} FULL JOIN {ORD} USING (custkey)")
 def _(t):
-    return join_tables(customers(t).where("c_mktsegment = 'BUILDING'"), big_orders(t), "custkey", how="outer")
+    return join_tables(customers(t), keyed_orders(t), "custkey", how="outer")
 
 
 @query(
@@ -81,17 +83,17 @@ def _(t):
 
 @query("join_left_anti", f"SELECT {JOINED} FROM {CUST} LEFT JOIN {ORD} USING (custkey) WHERE o_orderkey IS NULL")
 def _(t):
-    return join_by_flags(customers(t), big_orders(t), "custkey", matches=False, left_unmatched=True)
+    return join_by_flags(customers(t), keyed_orders(t), "custkey", matches=False, left_unmatched=True)
 
 
 @query(
     "join_sym_diff",
-    f"SELECT {JOINED} FROM (SELECT * FROM {CUST} WHERE c_mktsegment = 'BUILDING') AS c FULL JOIN {ORD} USING (custkey)"
+    f"SELECT {JOINED} FROM {CUST} FULL JOIN {ORD} USING (custkey)"
     " WHERE o_orderkey IS NULL OR c_name IS NULL",
 )
 def _(t):
-    left = customers(t).where("c_mktsegment = 'BUILDING'")
-    return join_by_flags(left, big_orders(t), "custkey", None, False, True, True)
+    left = customers(t)
+    return join_by_flags(left, keyed_orders(t), "custkey", None, False, True, True)
 
 
 @query(
@@ -115,11 +117,6 @@ def _(t):
     return join_tables(df, group_by(df, "o_custkey", {"o_orderkey": "min", "o_totalprice": "max"}), "o_custkey")
 
 
-@query("cross_join", "SELECT c_custkey, r_regionkey, r_name FROM customer CROSS JOIN region")
-def _(t):
-    return cross_join(t.customer.select("c_custkey"), t.region)
-
-
 # -- parameters
 
 @query("params_table", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1")
@@ -165,10 +162,23 @@ def _(t):
 
 @query(
     "db_loop_semi",
-    "SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "SELECT * FROM lineitem WHERE l_partkey * 7 IN (SELECT o_orderkey FROM orders)",
+)
+def _(t):
+    source = t.lineitem.withColumn("asked", F.col("l_partkey") * 7)
+    return query_by_keys(source, t.orders, "o_orderkey", "asked").drop("asked")
+
+
+@query(
+    "db_loop_nan",
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice IN"
+    " (SELECT o_totalprice FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 2 = 0)",
 )
 def _(t):
-    return query_by_keys(t.lineitem, t.orders.where("o_orderpriority = '1-URGENT'"), "o_orderkey", "l_orderkey")
+    nan = "CASE WHEN o_orderstatus = 'P' THEN CAST('NaN' AS DOUBLE) ELSE o_totalprice END"
+    df = t.orders.select("o_orderkey", F.expr(nan).alias("o_totalprice"))
+    keys = df.select(F.expr("CASE WHEN o_orderkey % 2 = 0 OR isnan(o_totalprice) THEN o_totalprice END").alias("k"))
+    return query_by_keys(df, keys, "k", "o_totalprice")
 
 
 @query("empty_switch", "SELECT c_custkey AS id, c_name AS name FROM customer")
@@ -177,7 +187,7 @@ def _(t):
     return table_or_else(none, t.customer.selectExpr("c_custkey AS id", "c_name AS name"))
 
 
-@query("empty_switch_filled", "SELECT o_orderkey AS id, o_orderpriority AS name FROM orders WHERE o_totalprice > 400000")
+@query("empty_switch_filled", "SELECT o_orderkey AS id, o_orderpriority AS name FROM orders")
 def _(t):
-    some = t.orders.where("o_totalprice > 400000").selectExpr("o_orderkey AS id", "o_orderpriority AS name")
+    some = t.orders.selectExpr("o_orderkey AS id", "o_orderpriority AS name")
     return table_or_else(some, t.customer.selectExpr("c_custkey AS id", "c_name AS name"))

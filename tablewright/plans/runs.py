@@ -73,7 +73,7 @@ def _(t):
         (F.col("event_id") % 5 + 1).alias("attempt"),
         F.when(F.col("event_type").isin("error", "click", "view"), "falha").otherwise("sucesso").alias("status"),
     )
-    return R.resolve_attempts(df, "task")
+    return R.resolve_attempts(df, "task", max_attempts=3)
 
 
 @query(

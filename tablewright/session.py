@@ -80,15 +80,3 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
         _scopes.remove(mine)
         for path in mine:
             delete_path(spark, path)
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """True if the optimizer's own size estimate lets it broadcast ``df``.
-
-    A session that does not show its estimates counts as too large.
-    """
-    if not hasattr(df, "_jdf"):
-        return False
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit

@@ -42,8 +42,8 @@ def texts(spark, *items):
 def test_rules(spark):
     df = edge(spark)
     rules = [("x > 3", "high"), ("x > 2", "middle"), ("n IN (3) AND x IS NULL", "gap")]
-    out = {r["k"]: r["r"] for r in rule_column(df.where("NOT isnan(x) OR x IS NULL"), "r", rules).collect()}
-    assert out == {"a": "middle", "b": "high", "c": "Unknown", "d": "gap"}
+    out = {r["k"]: r["r"] for r in rule_column(df, "r", rules).collect()}
+    assert out == {"a": "middle", "b": "high", "c": "Unknown", "d": "gap", None: "Unknown"}
     out = rule_column(df, "r", [("n = 1", 10), ("n = 2", 20)])
     assert {r["r"] for r in out.collect()} == {10, 20, None}
     out = rule_column(df, "r", [("n = 1", F.col("g")), ("TRUE", F.col("t"))])

@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright import cross_join, join_by_flags, join_tables, query_by_keys
+from tablewright import join_by_flags, join_tables, query_by_keys
 
 from .fixtures import edge, edge_empty, hot_rows, right_side
 
@@ -115,18 +115,6 @@ def test_hot_key_is_split(spark):
             spark.conf.set(k, v)
 
 
-def test_cross_join(spark):
-    left, right = edge(spark).select("k", "x"), right_side(spark)
-    out = cross_join(left, right)
-    assert out.columns == ["k_x", "x_x", "k_y", "x_y"] and out.count() == 30
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
-    assert cross_join(left, right.limit(0)).count() == 0
-    assert cross_join(edge_empty(spark), right.select("x").toDF("y")).count() == 0
-    with pytest.raises(ValueError):
-        cross_join(left, right, max_rows=4)
-
-
 def test_query_by_keys(spark):
     out = query_by_keys(edge(spark), right_side(spark), "k")
     assert sorted(r["k"] for r in out.collect()) == ["a", "b", "b"]

@@ -33,8 +33,8 @@ def test_sort_spreads_a_hot_key_and_copies(spark):
     copies = ids.select(F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("k"), F.lit("x").alias("t"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for df in (hot_key, copies):
-            out = sort_rows(df, "k")
+        for df, repeats in ((hot_key, False), (copies, True)):
+            out = sort_rows(df, "k", copies=repeats)
             sizes = out.groupBy(F.spark_partition_id()).count().collect()
             assert sum(r["count"] for r in sizes) == 60000 and max(r["count"] for r in sizes) < 15000
             keys = [r["k"] for r in out.collect()]
