@@ -173,7 +173,7 @@ def list_pieces(
     )
     for k in keys:
         rows = rows.filter(quoted(k).isNotNull())
-    placed = weights_before(rows, keys, [f"__o{i}" for i in range(len(order_by))], "__one")
+    placed = weights_before(rows, keys, [f"__o{i}" for i in range(len(order_by))], "__one", null_keys=False)
     piece = F.expr(f"{BEFORE} div {int(piece_rows)}")
     cells = F.array_sort(F.collect_list(F.struct(BEFORE, "__value")))
     return (

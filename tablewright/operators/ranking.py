@@ -19,14 +19,15 @@ SIZE = "__size"
 
 
 def weights_before(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], weight: str, ascending=True
+    df: DataFrame, by: Sequence[str], order: Sequence[str], weight: str, ascending=True, null_keys: bool = True
 ) -> DataFrame:
     """Add ``__before``, the weight of all earlier rows of the same ``by`` group, and
     ``__size``, the weight of the whole group.
 
     ``order`` must identify the rows of a group; then the ranges even out however large
     one group is.  Their number is that of the session's shuffle partitions, which
-    adaptive execution lowers for small data.
+    adaptive execution lowers for small data.  Say ``null_keys=False`` where ``by`` holds no
+    NULL: plain equality lets the join of the totals keep the partitioning of the window.
     """
     sort = [*order_columns(df, list(by)), *order_columns(df, list(order), ascending)]
     cut = materialize(df.repartitionByRange(*sort).withColumn(PART, F.spark_partition_id()), "ranges")
@@ -48,8 +49,10 @@ def weights_before(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     inside = cut.withColumn("__inside", F.coalesce(F.sum(weight).over(local), F.lit(0)))
-    pairs = [(PART, "__at"), *[(b, f"__by{i}") for i, b in enumerate(by)]]
-    return inside.join(offsets, same_keys(pairs)).select(
+    on = F.col(PART) == F.col("__at")
+    if by:
+        on &= same_keys([(b, f"__by{i}") for i, b in enumerate(by)], null_safe=null_keys)
+    return inside.join(offsets, on).select(
         *[quoted(c) for c in df.columns], (F.col("__offset") + F.col("__inside")).alias(BEFORE), SIZE
     )
 
