@@ -372,7 +372,7 @@ def connection_info(docs: DataFrame, path: str = "path", content: str = "content
         "user",
         F.col("__schema").alias("schema"),
         F.col("__table").alias("table"),
-        F.when(db_type == "bigquery", F.col("project")).alias("project"),
+        F.when(db_type == "bigquery", F.col("project")).when(db_type == "db_loader", F.col("__database")).alias("project"),
         "hint_instance",
         "hint_database",
     )

@@ -206,13 +206,16 @@ def report_rows(
     end: str = "end",
     reason: str = "err_msg",
     keep: Sequence[str] = (),
+    reason_width: int | None = None,
 ) -> DataFrame:
     """The cells of a report line, padded: ``name``, ``status``, ``start``, ``end``, ``reason``.
 
     The name column is as wide as the longest name, at least 20.  ``keep`` names
-    columns that stay in front.
+    columns that stay in front.  The reason is cut to ``reason_width`` if that is given, else
+    its column is as wide as the longest reason, at least :data:`REASON_WIDTH`.
     """
     widest = runs.agg(F.max(F.length(quoted(name)))).scalar()
+    cause, wide = reason_cell(runs, reason, reason_width)
     width = F.greatest(F.lit(NAME_WIDTH), F.coalesce(widest, F.lit(0)))
     text = lambda c: quoted(c).cast("string")
     return runs.select(
@@ -221,10 +224,19 @@ def report_rows(
         padded(status_label(quoted(status)), STATUS_WIDTH).alias("status"),
         padded(br_datetime(text(start)), DATE_WIDTH).alias("start"),
         padded(br_datetime(text(end)), DATE_WIDTH).alias("end"),
-        padded(truncate_text(reason, REASON_WIDTH), REASON_WIDTH).alias("reason"),
+        padded(cause, wide).alias("reason"),
     )
 
 
+def reason_cell(runs: DataFrame, reason: str, width: int | None) -> tuple[Column, Column]:
+    """Text and width of the last column of a report."""
+    if width is not None:
+        return truncate_text(quoted(reason), width), F.lit(width)
+    text = quoted(reason).cast("string")
+    longest = runs.agg(F.max(F.length(text))).scalar()
+    return text, F.greatest(F.lit(REASON_WIDTH), F.coalesce(longest, F.lit(0)))
+
+
 def durations(
     df: DataFrame, start: str = "start", end: str = "end", status: str | None = None,
     timeout: float | None = None, out: str = "duration_s",

@@ -122,7 +122,7 @@ def _(t):
     df = event_runs(t).withColumn(
         "err_msg", F.when(F.col("status") == "falha", F.repeat(F.concat(F.lit("erro "), "script", F.lit(" ")), F.lit(5)))
     )
-    return R.report_rows(df, keep=["event_id"])
+    return R.report_rows(df, keep=["event_id"], reason_width=50)
 
 
 REPORT_CELLS = (
@@ -140,7 +140,7 @@ REPORT_CELLS = (
 )
 def _(t):
     df = event_runs(t).withColumn("err_msg", F.lit(""))
-    lines = report_lines(df, "event_id", 12.5, dt.datetime(2024, 1, 31))
+    lines = report_lines(df, "event_id", 12.5, dt.datetime(2024, 1, 31), reason_width=50)
     return lines.where("section = 1 OR section = 2 AND place BETWEEN 3 AND 5")
 
 

@@ -217,9 +217,9 @@ def _(t):
 
 # -- concatenation
 
-@query("concat_two", "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'F'")
+@query("concat_two", "SELECT * FROM orders UNION ALL SELECT * FROM orders")
 def _(t):
-    return concat_tables(t.orders, filter_equals(t.orders, "o_orderstatus", "F"))
+    return concat_tables(t.orders, t.orders)
 
 
 @query(

@@ -11,9 +11,9 @@ from ..operators.runs import (
     BAD_JSON,
     DATE_WIDTH,
     NAME_WIDTH,
-    REASON_WIDTH,
     STATUS_WIDTH,
     padded,
+    reason_cell,
     report_rows,
     run_summary,
 )
@@ -84,21 +84,27 @@ REPORT_RATE = "  - Taxa de sucesso: "
 
 
 def report_lines(
-    runs: DataFrame, order_by: str, total_duration: float, at: dt.datetime, status: str = "status", **columns: str
+    runs: DataFrame,
+    order_by: str,
+    total_duration: float,
+    at: dt.datetime,
+    status: str = "status",
+    reason_width: int | None = None,
+    **columns: str,
 ) -> DataFrame:
     """The run report as rows ``(section, place, line)``; sorted by the first two they are its text.
 
     Section 0 is the head, 1 holds one line per run in the order of ``order_by``, 2 the
     summary.  ``columns`` name the other columns as in :func:`report_rows`.
     """
-    cells = report_rows(runs, status=status, keep=[order_by], **columns)
+    cells = report_rows(runs, status=status, keep=[order_by], reason_width=reason_width, **columns)
     line = F.concat(F.lit("| "), F.concat_ws(" | ", "name", "status", "start", "end", "reason"), F.lit(" |"))
     body = cells.select(F.lit(1).alias("section"), quoted(order_by).cast("bigint").alias("place"), line.alias("line"))
 
     sums = run_summary(runs, status, duration=None)
     widest = runs.agg(F.max(F.length(quoted(columns.get("name", "orchestrator"))))).scalar()
     frame = sums.withColumn("width", F.greatest(F.lit(NAME_WIDTH), F.coalesce(widest, F.lit(0))))
-    widths = [F.col("width"), *[F.lit(w) for w in (STATUS_WIDTH, DATE_WIDTH, DATE_WIDTH, REASON_WIDTH)]]
+    widths = [F.col("width"), *[F.lit(w) for w in (STATUS_WIDTH, DATE_WIDTH, DATE_WIDTH)], reason_cell(runs, columns.get("reason", "err_msg"), reason_width)[1]]
     rule = F.concat(F.lit("+"), F.concat_ws("+", *[F.repeat(F.lit("-"), w + 2) for w in widths]), F.lit("+"))
     edge = F.repeat(F.lit("="), F.length(rule))
     heads = F.concat_ws(" | ", *[padded(F.lit(h), w) for h, w in zip(REPORT_HEADS, widths)])

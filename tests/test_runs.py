@@ -112,7 +112,7 @@ def report_runs(spark):
 
 def test_report(spark, tmp_path):
     df = report_runs(spark)
-    cells = {r["name"].strip(): r for r in R.report_rows(df).collect()}
+    cells = {r["name"].strip(): r for r in R.report_rows(df, reason_width=50).collect()}
     assert {len(r["name"]) for r in cells.values()} == {29}
     assert cells["vendas"]["reason"] == "x" * 50
     assert cells["vendas"]["start"] == "09/02/2026 06:00:00"
@@ -120,7 +120,7 @@ def test_report(spark, tmp_path):
     assert cells["estoque"]["status"] == "NÃO ENCONTRADO".ljust(15)
     assert cells["outro"]["status"] == "ERRO_PERMISSAO".ljust(15)
 
-    lines = report_lines(df, "i", 45.674, dt.datetime(2026, 2, 9, 7, 0))
+    lines = report_lines(df, "i", 45.674, dt.datetime(2026, 2, 9, 7, 0), reason_width=50)
     write_report(lines, str(tmp_path / "report"))
     parts = sorted((tmp_path / "report").glob("part-*"))
     out = "".join(p.read_text() for p in parts).split("\n")
