@@ -111,13 +111,13 @@ def missing(col: str | Column) -> Column:
 
 
 def split_cell(df: DataFrame, col: str, sep: str = ",", n: int | None = None) -> DataFrame:
-    """Split a text into columns ``<col>_0``, ``<col>_1``, …; short rows end in missing values.
+    """Split a text into columns ``<col>_0`` … ``<col>_<n-1>``; short rows end in missing values.
 
-    Without ``n`` a job first finds the largest number of parts.
+    Without ``n``, as the rows differ in their parts, one array column ``<col>_parts`` holds them.
     """
     parts = F.split(quoted(col), _literal_pattern(sep))
     if n is None:
-        n = df.agg(F.max(F.size(parts))).first()[0] or 0
+        return df.withColumn(f"{col}_parts", parts)
     return df.withColumns({f"{col}_{i}": F.get(parts, F.lit(i)) for i in range(n)})
 
 

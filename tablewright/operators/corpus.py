@@ -22,7 +22,6 @@ SELECT_TEXT = r"(?is)SELECT\s+.+?\s+FROM\s+.+?(?:WHERE|ORDER|GROUP|LIMIT|;|$)"
 SELECT_VALUE = r'(?i)value="([^"]*SELECT[^"]*)"'
 FACTORY = r"(?:org|com)\.[a-zA-Z0-9_.]+NodeFactory[a-zA-Z0-9_$]*"
 CONNECTOR_FACTORY = r"(?:org|com)\.[a-zA-Z0-9_.]+(?:Connector|Api)Factory[a-zA-Z0-9_$]*"
-PLACEHOLDER_OR_EDGE = r"(?s)^\s*(?:<.*>|\[Workflows edited.*)\s*$|^\s+|\s+$"
 JDBC_URL = r"(jdbc:[a-zA-Z0-9+:/_.\-@]+)"
 ADDRESS = r"//([^:/]+):?(\d+)?/?([^;?]*)"
 DATABASE_NAME = r"databaseName=([^;]+)"
@@ -125,6 +124,47 @@ CLAUSES = (
 # Translation methods in report order.
 METHODS = ("Dedicado", "Determinístico", "Injeção Direta", "LLM", "Template", "Fallback")
 
+# Words of a template label -> translation method, first match wins.
+METHOD_WORDS = (
+    (("Deterministic", "deterministic"), "Determinístico"),
+    (("LLM", "llm"), "LLM"),
+    (("Injected", "injected"), "Injeção Direta"),
+    (("Extracted",), "Template"),
+)
+
+# Part of a template label -> kind of node, translation; first match wins.
+SPECIAL_TEMPLATES = (
+    ("StringManip_Deterministic", "StringManipulation", "Expressão → .apply(lambda)"),
+    ("StringManip_LLM", "StringManipulation (LLM)", "Expressão → LLM → pandas"),
+    ("StringManip_Extracted", "StringManipulation", "Expressão extraída (template)"),
+    ("JavaSnippet_Deterministic", "Java Snippet", "if/else Java → np.where()"),
+    ("JavaEditVar_Deterministic", "Java Edit Variable", "Atribuição simples → flow var"),
+    ("Java_LLM", "Java Snippet (LLM)", "Código Java → LLM → pandas"),
+    ("PythonScript_Injected", "Python2Script", "Código Python extraído e injetado"),
+    ("PythonScript_Extracted", "Python2Script", "Código Python (AST falhou)"),
+)
+
+# Words of a factory name, besides the fragments of a type, that make it a database node.
+DATABASE_WORDS = ("Connector", "Database")
+
+# Entry keys that say something about a connection.
+CONNECTION_KEYS = (
+    "driver", "database", "database_name", "db_type", "db_dialect",
+    "db_driver", "host", "port", "schema", "table", "catalog",
+    "user", "userName", "credential", "auth_type",
+    "service_account_email", "key_file_location",
+    "project", "project_id", "dataset", "location", "region",
+    "warehouse", "role", "account", "instance",
+    "timeout", "connection_timeout", "query_timeout",
+    "url", "server", "server_name", "sid", "service_name",
+    "statement", "sql_statement", "query",
+    "insert_mode", "if_exists", "batch_size",
+    "port_object_summary",
+)
+
+# The keys among them that hold a whole number.
+NUMBER_KEYS = ("port", "timeout", "connection_timeout", "query_timeout", "batch_size")
+
 
 def _col(col: str | Column) -> Column:
     return quoted(col) if isinstance(col, str) else col
@@ -201,7 +241,15 @@ def extract_sql(df: DataFrame, col: str, out: str = "sql", search_text: bool = T
     if search_text:
         found.append(first_match(col, SELECT_TEXT, 0))
     found.append(longest)
-    return df.withColumn(out, strip(unescape_entities(decode_escapes(F.coalesce(*found)))))
+    # Decoding mentions the text several times: a column of its own is searched for once per row.
+    coded = df.withColumn("__coded", F.coalesce(*found))
+    decoded = strip(unescape_entities(decode_escapes("__coded"))).alias(out)
+    kept = [quoted(c) for c in df.columns]
+    if out in df.columns:
+        kept[df.columns.index(out)] = decoded
+    else:
+        kept.append(decoded)
+    return coded.select(*kept)
 
 
 def extract_entries(
@@ -318,10 +366,30 @@ def node_inventory(docs: DataFrame, path: str = "path", content: str = "content"
     return found.select(quoted(path).alias("path"), "name", "factory", F.when(reads, F.col("sql")).alias("sql"))
 
 
-def entry_value(col: str | Column, key: str) -> Column:
-    """Trimmed value of the first entry of that key; empty values and placeholders like ``<…>`` are missing."""
-    found = F.regexp_extract(_col(col), rf'<entry\s+key="{key}"\s+[^>]*value="([^"]*)"', 1)
-    return F.nullif(F.regexp_replace(found, PLACEHOLDER_OR_EDGE, ""), F.lit(""))
+def entry_columns(
+    df: DataFrame, col: str, keys: Sequence[str], prefix: str = "__", internal: str | None = None,
+    keep_internal: Sequence[str] = (),
+) -> DataFrame:
+    """Add a column ``<prefix><key>`` for each key: the trimmed value of its first entry.
+
+    Empty values and placeholders are missing, and so are values that hold the text
+    ``internal``, save for the keys in ``keep_internal``.  The entries of all keys
+    are found together.
+    """
+    pattern = F.lit(ENTRY.replace('"([^"]*)"', f'"({"|".join(keys)})"', 1))
+
+    def held(key: Column, value: Column) -> Column:
+        shown = (value != "") & ~(value.startswith("<") & value.endswith(">")) & ~value.startswith("[Workflows edited")
+        if internal:
+            shown &= ~value.contains(internal) | key.isin(list(keep_internal))
+        return F.when(shown, value)
+
+    found = df.withColumns({"__keys": F.regexp_extract_all(quoted(col), pattern, 1),
+                            "__values": F.transform(F.regexp_extract_all(quoted(col), pattern, 2), strip)})
+    found = found.withColumn("__values", F.zip_with("__keys", "__values", held))
+    # The first place of a key counts from 1; 0 says that there is none.
+    value = lambda key: F.expr(f"get(__values, cast(array_position(__keys, '{key}') - 1 AS int))").alias(prefix + key)
+    return found.select(*[quoted(c) for c in df.columns], *[value(key) for key in keys])
 
 
 def connection_info(docs: DataFrame, path: str = "path", content: str = "content", internal: str | None = None) -> DataFrame:
@@ -329,34 +397,37 @@ def connection_info(docs: DataFrame, path: str = "path", content: str = "content
 
     Columns: ``path``, ``factory``, ``db_type``, ``is_connector``, ``is_load``, ``jdbc_url``,
     ``subprotocol``, ``host``, ``port``, ``database_name``, ``driver``, ``user``, ``schema``,
-    ``table``, ``project``, ``hint_instance`` and ``hint_database``.  Entries come before the
-    parts of the address, a type by factory before one by driver.  Driver classes
-    that hold the text ``internal`` do not count.
+    ``table``, ``project``, ``hint_instance``, ``hint_database``, then the other
+    entries of :data:`CONNECTION_KEYS` under their own names, SQL texts excepted.  Entries come before
+    the parts of the address, a type given as an entry before one by factory before one by
+    driver.  The project is that of the database columns or the SQL for BigQuery, the
+    database for a loader, else the entry.  Values that hold the text ``internal`` do not count.
     """
     text = quoted(content)
-    factory = simple_class(_factory(text))
-    hints = [fragment for fragment, _ in FACTORY_TYPES] + ["Connector", "Database"]
+    hints = [*[fragment for fragment, _ in FACTORY_TYPES], *DATABASE_WORDS]
     # One pattern: the filter is pushed down, and each mention of the factory is computed again there.
-    is_database = F.col("factory").rlike("|".join(hints))
-    driver = entry_value(text, "driver")
-    if internal:
-        driver = F.when(~driver.contains(internal), driver)
-    sql = F.coalesce(*[entry_value(text, key) for key in ("sql_statement", "statement", "query")])
-    found = docs.select(
-        quoted(path).alias("path"),
-        factory.alias("factory"),
-        F.coalesce(first_match(text, JDBC_URL), entry_value(text, "databaseUrl")).alias("jdbc_url"),
-        driver.alias("driver"),
-        sql.alias("__sql"),
-        F.coalesce(entry_value(text, "user"), entry_value(text, "userName")).alias("user"),
-        *[entry_value(text, key).alias(f"__{key}") for key in ("host", "port", "database_name", "database", "schema", "table")],
-    ).where(is_database)
-
-    found = sql_hints(parse_jdbc_url(found, "jdbc_url"), "__sql", "__database_name", "__database")
-    by_factory = factory_type("factory")
-    by_driver = by_factory.isin("unknown", "jdbc", "db_looping", "db_reader") & F.col("driver").isNotNull()
+    nodes = docs.select(
+        quoted(path).alias("path"), simple_class(_factory(text)).alias("factory"), text.alias("__content")
+    ).where(F.col("factory").rlike("|".join(hints)))
+    found = entry_columns(
+        nodes, "__content", [*CONNECTION_KEYS, "databaseUrl"], internal=internal, keep_internal=["port_object_summary"]
+    )
+    entry = lambda key: F.col(f"__{key}")
+    found = found.select(
+        "*",
+        F.coalesce(first_match("__content", JDBC_URL), entry("databaseUrl")).alias("jdbc_url"),
+        F.coalesce(entry("sql_statement"), entry("statement"), entry("query")).alias("__sql"),
+    ).drop("__content")
+
+    by_node = F.coalesce(entry("db_type"), factory_type("factory")).alias("__by_node")
+    found = sql_hints(parse_jdbc_url(found, "jdbc_url"), "__sql", "__database_name", "__database").select("*", by_node)
+    by_driver = F.col("__by_node").isin("unknown", "jdbc", "db_looping", "db_reader") & entry("driver").isNotNull()
     has = lambda *words: reduce(Column.__or__, [F.col("factory").contains(w) for w in words])
-    db_type = F.when(by_driver, driver_type("driver")).otherwise(by_factory)
+    db_type = F.when(by_driver, driver_type("__driver")).otherwise(F.col("__by_node"))
+    of_type = F.when(db_type == "bigquery", F.col("project")).when(db_type == "db_loader", entry("database"))
+    number = lambda key: entry(key).try_cast("bigint")
+    named = {"db_type", "host", "port", "database_name", "driver", "user", "userName", "schema", "table", "project",
+             "statement", "sql_statement", "query"}
     return found.select(
         "path",
         "factory",
@@ -365,16 +436,17 @@ def connection_info(docs: DataFrame, path: str = "path", content: str = "content
         has("Loader", "Writer").alias("is_load"),
         "jdbc_url",
         "subprotocol",
-        F.coalesce("__host", "host").alias("host"),
-        F.coalesce(F.col("__port").try_cast("bigint"), F.col("port")).alias("port"),
-        F.coalesce("__database_name", "database_name").alias("database_name"),
-        "driver",
-        "user",
-        F.col("__schema").alias("schema"),
-        F.col("__table").alias("table"),
-        F.when(db_type == "bigquery", F.col("project")).when(db_type == "db_loader", F.col("__database")).alias("project"),
+        F.coalesce(entry("host"), "host").alias("host"),
+        F.coalesce(number("port"), "port").alias("port"),
+        F.coalesce(entry("database_name"), "database_name").alias("database_name"),
+        entry("driver").alias("driver"),
+        F.coalesce(entry("user"), entry("userName")).alias("user"),
+        entry("schema").alias("schema"),
+        entry("table").alias("table"),
+        F.coalesce(of_type, entry("project"), entry("project_id")).alias("project"),
         "hint_instance",
         "hint_database",
+        *[(number(k) if k in NUMBER_KEYS else entry(k)).alias(k) for k in CONNECTION_KEYS if k not in named],
     )
 
 
@@ -396,16 +468,36 @@ def top_factories(nodes: DataFrame, factory: str = "factory", n: int = 20) -> Da
 
 def method_label(template: Column, matched: Column) -> Column:
     """Translation method by the words of a template label."""
-    has = lambda *words: reduce(Column.__or__, [template.contains(w) for w in words])
-    return (
-        F.when(~F.coalesce(matched, F.lit(False)), "Fallback")
-        .when(has("Deterministic", "deterministic"), "Determinístico")
-        .when(has("LLM", "llm"), "LLM")
-        .when(has("Injected", "injected"), "Injeção Direta")
-        .when(has("Extracted"), "Template")
-        .when((template != "") & (template != "template"), "Dedicado")
+    has = lambda words: reduce(Column.__or__, [template.contains(w) for w in words])
+    chain = F.when(~F.coalesce(matched, F.lit(False)), "Fallback")
+    for words, method in METHOD_WORDS:
+        chain = chain.when(has(words), method)
+    return chain.when((template != "") & (template != "template"), "Dedicado").otherwise("Template")
+
+
+def node_methods(
+    nodes: DataFrame, keep: Sequence[str] | str = (), template: str = "template", matched: str = "matched"
+) -> DataFrame:
+    """A row per node: the columns ``keep``, ``method``, and for special templates their
+    ``special``, ``kind`` and ``translation`` (missing for the others).
+
+    The method of a dedicated, deterministic or language-model template names it in brackets.
+    """
+    label, known = quoted(template), F.coalesce(quoted(matched), F.lit(False))
+    with_template = lambda name: F.concat(F.lit(f"{name} ("), label, F.lit(")"))
+    method = (
+        F.when(~known, "Fallback")
+        .when(label.contains("Deterministic") | label.contains("deterministic"), with_template("Determinístico"))
+        .when(label.contains("LLM"), with_template("LLM"))
+        .when(label.contains("Injected"), "Injeção Direta")
+        .when((label != "") & (label != "template"), with_template("Dedicado"))
         .otherwise("Template")
     )
+    special = F.when(known, reduce(lambda c, row: c.when(label.contains(row[0]), row[0]), SPECIAL_TEMPLATES, F))
+    of_special = lambda at: reduce(lambda c, row: c.when(F.col("special") == row[0], row[at]), SPECIAL_TEMPLATES, F)
+    return nodes.select(
+        *[quoted(c) for c in as_list(keep)], method.alias("method"), special.alias("special")
+    ).withColumns({"kind": of_special(1), "translation": of_special(2)})
 
 
 def method_distribution(nodes: DataFrame, template: str = "template", matched: str = "matched") -> DataFrame:
@@ -424,16 +516,20 @@ def method_distribution(nodes: DataFrame, template: str = "template", matched: s
 
 def fallback_groups(
     nodes: DataFrame, order_by: Sequence[str] | str, factory: str = "factory", name: str = "name",
-    matched: str = "matched",
+    matched: str = "matched", sample_chars: int | None = None,
 ) -> DataFrame:
-    """Unmatched nodes per class: first name (25 characters), count and report cell, largest first."""
+    """Unmatched nodes per class: first name, count and report cell, largest first.
+
+    The name is cut to ``sample_chars`` characters if that is given.
+    """
     place = F.struct(*[quoted(o) for o in as_list(order_by)])
     groups = (
         nodes.where(~F.coalesce(quoted(matched), F.lit(False)))
         .groupBy(simple_class(factory).alias("factory"))
         .agg(F.min_by(quoted(name), place).alias("sample"), F.count("*").alias("count"))
-        .withColumn("sample", F.substring("sample", 1, 25))
     )
+    if sample_chars is not None:
+        groups = groups.withColumn("sample", F.substring("sample", 1, sample_chars))
     cell = F.when(
         F.col("count") > 1, F.concat("sample", F.lit("... ("), F.col("count").cast("string"), F.lit("x)"))
     ).otherwise(F.col("sample"))

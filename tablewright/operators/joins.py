@@ -1,4 +1,4 @@
-"""Equi joins whose missing keys match each other, and the product with a small table.
+"""Equi joins whose missing keys match each other.
 
 Left, right and outer joins are composed of the inner join and the unmatched rows of
 a side.  Adaptive execution splits a hot key on either side of an inner join and on
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..missing import as_list, check_columns, quoted, same_keys, without_nan
 
@@ -41,10 +41,31 @@ def _side(name: str, column: str) -> Column:
     return F.col(f"{name}.`" + column.replace("`", "``") + "`")
 
 
+def _zero(kind: T.DataType) -> Column | None:
+    """A value to stand for a missing key of that type, next to a flag; none for rarer types."""
+    if isinstance(kind, T.NumericType):
+        return F.lit(0).cast(kind)
+    return F.lit("") if isinstance(kind, T.StringType) else None
+
+
 def _unmatched(side: DataFrame, other: DataFrame, pairs, null_safe: bool) -> DataFrame:
-    keys = other.select(*[quoted(o).alias(f"__k{i}") for i, (_, o) in enumerate(pairs)]).distinct()
-    cond = same_keys([(s, f"__k{i}") for i, (s, _) in enumerate(pairs)], null_safe)
-    return side.join(keys, cond, "left_anti")
+    """Rows of ``side`` without a partner.
+
+    Missing keys are compared as (value or zero, is missing), the pairs by which a null-safe
+    join is shuffled: the distinct keys then lie where the join wants them, and ``side`` lies as
+    in the inner join, whose shuffle is used again.
+    """
+    keys, cond = [], None
+    for i, (s, o) in enumerate(pairs):
+        zero = _zero(side.schema[s].dataType) if side.schema[s].dataType == other.schema[o].dataType else None
+        if null_safe and zero is not None:
+            keys += [F.coalesce(quoted(o), zero).alias(f"__k{i}"), quoted(o).isNull().alias(f"__n{i}")]
+            one = (F.coalesce(quoted(s), zero) == F.col(f"__k{i}")) & (quoted(s).isNull() == F.col(f"__n{i}"))
+        else:
+            keys.append(quoted(o).alias(f"__k{i}"))
+            one = same_keys([(s, f"__k{i}")], null_safe)
+        cond = one if cond is None else cond & one
+    return side.join(other.select(*keys).distinct(), cond, "left_anti")
 
 
 def join_by_flags(

@@ -199,10 +199,12 @@ def _(t):
 @query(
     "cell_split",
     "SELECT o_orderkey, o_orderpriority, split_part(o_orderpriority, '-', 1) AS o_orderpriority_0,"
-    " split_part(o_orderpriority, '-', 2) AS o_orderpriority_1 FROM orders",
+    " split_part(o_orderpriority, '-', 2) AS o_orderpriority_1, string_split(o_orderpriority, '-')[-1] AS last FROM orders",
 )
 def _(t):
-    return text.split_cell(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "-")
+    df = text.split_cell(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "-", 2)
+    parts = text.split_cell(df, "o_orderpriority", "-")
+    return parts.withColumn("last", F.element_at("o_orderpriority_parts", -1)).drop("o_orderpriority_parts")
 
 
 @query("str_last_line", "SELECT conv_id, turn, trim(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))[-1]) AS s FROM conversations")

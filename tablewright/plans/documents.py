@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import corpus as W
+from ..session import new_path
+from ..sources.files import scan_docs
 from .registry import query
 
 ATTRIBUTE = r'(href|class|id|lang|charset)="([^"]*)"'
@@ -114,6 +116,22 @@ SETTINGS_SQL = (
 )
 
 
+@query(
+    "scan_docs",
+    "SELECT 'nation=' || c_nationkey AS folder, '<config n=\"' || count(*) || '\" top=\"' || max(c_custkey) || '\"/>' AS content"
+    " FROM customer GROUP BY c_nationkey",
+)
+def _(t):
+    """A document per nation, written to its folder; all are read with their paths."""
+    counts = t.customer.groupBy(F.col("c_nationkey").alias("nation")).agg(
+        F.format_string('<config n="%d" top="%d"/>', F.count("*"), F.max("c_custkey")).alias("value")
+    )
+    path = new_path(t.spark, "documents")
+    counts.write.partitionBy("nation").text(path)
+    docs = scan_docs(t.spark, path, "*.txt")
+    return docs.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "content")
+
+
 @query("extract_sql", f"SELECT p_partkey, {SETTINGS_SQL} AS sql FROM part")
 def _(t):
     return W.extract_sql(settings_docs(t), "content").select("p_partkey", "sql")
@@ -141,24 +159,69 @@ def _(t):
     return W.sql_hints(df, "sql", "named").drop("sql", "named")
 
 
+CONNECTION_SQL = {
+    "path": "'/c/' || c_custkey",
+    "factory": "['MySQLDBConnectorNodeFactory', 'JDBCConnectorNodeFactory', 'BigQueryDBConnectorNodeFactory', 'DBLoaderNodeFactory',"
+    " 'DBReaderNodeFactory'][kind + 1]",
+    "db_type": "['mysql', 'postgres', 'bigquery', 'db_loader', 'oracle'][kind + 1]",
+    "is_connector": "kind < 3",
+    "is_load": "kind = 3",
+    "jdbc_url": "CASE kind WHEN 0 THEN 'jdbc:mysql://h' || c_nationkey || ':' || (1000 + c_nationkey) || '/' || c_mktsegment"
+    " WHEN 1 THEN 'jdbc:postgresql://h' || c_nationkey || ':' || (1000 + c_nationkey) || '/' || c_mktsegment END",
+    "subprotocol": "CASE kind WHEN 0 THEN 'mysql' WHEN 1 THEN 'postgresql' END",
+    "host": "CASE WHEN kind < 2 THEN 'h' || c_nationkey WHEN kind = 4 THEN 'own' END",
+    "port": "CASE WHEN kind < 2 THEN CAST(1000 + c_nationkey AS BIGINT) WHEN kind = 4 THEN 77 END",
+    "database_name": "CASE WHEN kind < 2 THEN c_mktsegment END",
+    "driver": "CASE kind WHEN 1 THEN 'org.postgresql.Driver' WHEN 4 THEN 'oracle.jdbc.Driver' END",
+    "user": "CASE kind WHEN 0 THEN 'u' || c_custkey WHEN 4 THEN 'v' || c_custkey END",
+    "schema": "CASE kind WHEN 3 THEN 's' || c_nationkey END",
+    "table": "CASE kind WHEN 3 THEN 't' || c_custkey END",
+    "project": "CASE WHEN kind IN (2, 3) THEN c_mktsegment WHEN kind = 4 THEN 'p' || c_nationkey END",
+    "hint_instance": "CASE kind WHEN 4 THEN 'srv' || c_custkey END",
+    "hint_database": "NULL::VARCHAR",
+    "database": "CASE WHEN kind IN (2, 3) THEN c_mktsegment END",
+    "batch_size": "CASE kind WHEN 3 THEN CAST(c_custkey AS BIGINT) END",
+    "if_exists": "CASE kind WHEN 3 THEN 'append' END",
+    "warehouse": "CASE kind WHEN 4 THEN 'w' || c_nationkey END",
+    "project_id": "CASE kind WHEN 4 THEN 'p' || c_nationkey END",
+    "url": "CASE kind WHEN 1 THEN 'jdbc:postgresql://h' || c_nationkey || ':' || (1000 + c_nationkey) || '/' || c_mktsegment END",
+}
+OTHER_KEYS = {
+    "db_dialect": "VARCHAR", "db_driver": "VARCHAR", "catalog": "VARCHAR", "credential": "VARCHAR", "auth_type": "VARCHAR",
+    "service_account_email": "VARCHAR", "key_file_location": "VARCHAR", "dataset": "VARCHAR",
+    "location": "VARCHAR", "region": "VARCHAR", "role": "VARCHAR", "account": "VARCHAR", "instance": "VARCHAR",
+    "timeout": "BIGINT", "connection_timeout": "BIGINT", "query_timeout": "BIGINT", "server": "VARCHAR",
+    "server_name": "VARCHAR", "sid": "VARCHAR", "service_name": "VARCHAR", "insert_mode": "VARCHAR",
+    "port_object_summary": "VARCHAR",
+}
+
+
 @query(
     "connection_info",
-    "SELECT '/c/' || c_custkey AS path, CASE c_nationkey % 3 WHEN 0 THEN 'mysql' WHEN 1 THEN 'postgres' ELSE 'bigquery' END AS db_type,"
-    " CASE c_nationkey % 3 WHEN 2 THEN NULL ELSE 'h' || c_nationkey END AS host, CASE c_nationkey % 3 WHEN 2 THEN NULL ELSE CAST(1000 + c_nationkey AS BIGINT) END AS port,"
-    " CASE c_nationkey % 3 WHEN 2 THEN NULL ELSE c_mktsegment END AS database_name,"
-    " CASE c_nationkey % 3 WHEN 2 THEN c_mktsegment END AS project FROM customer",
+    "SELECT "
+    + ", ".join(f'{sql} AS "{name}"' for name, sql in CONNECTION_SQL.items())
+    + "".join(f', NULL::{kind} AS "{name}"' for name, kind in OTHER_KEYS.items())
+    + " FROM (SELECT *, c_nationkey % 5 AS kind FROM customer)",
 )
 def _(t):
+    """A connector with an address, one with a driver, one to a project, a loader and a reader."""
+    entry = lambda key, value: f"""<entry key="{key}" type="xstring" value="', {value}, '"/>"""
+    address = "'://h', c_nationkey, ':', 1000 + c_nationkey, '/', c_mktsegment"
     content = F.expr(
-        "CASE c_nationkey % 3"
-        " WHEN 0 THEN concat('org.sample.MySQLDBConnectorNodeFactory <entry key=\"databaseUrl\" type=\"xstring\" value=\"jdbc:mysql://h',"
-        " c_nationkey, ':', 1000 + c_nationkey, '/', c_mktsegment, '\"/>')"
-        " WHEN 1 THEN concat('org.sample.JDBCConnectorNodeFactory <entry key=\"driver\" type=\"xstring\" value=\"org.postgresql.Driver\"/>"
-        "<entry key=\"url\" type=\"xstring\" value=\"jdbc:postgresql://h', c_nationkey, ':', 1000 + c_nationkey, '/', c_mktsegment, '\"/>')"
-        " ELSE concat('org.sample.BigQueryDBConnectorNodeFactory <entry key=\"database\" type=\"xstring\" value=\"', c_mktsegment, '\"/>') END"
+        "CASE c_nationkey % 5"
+        f" WHEN 0 THEN concat('org.sample.MySQLDBConnectorNodeFactory {entry('databaseUrl', "'jdbc:mysql', " + address)}"
+        f"{entry('userName', "' u', c_custkey")}{entry('user', "''")}')"
+        f" WHEN 1 THEN concat('org.sample.JDBCConnectorNodeFactory {entry('driver', "'org.postgresql.Driver'")}"
+        f"{entry('driver', "'com.mysql.Driver'")}{entry('url', "'jdbc:postgresql', " + address)}{entry('host', "'<none>'")}')"
+        f" WHEN 2 THEN concat('org.sample.BigQueryDBConnectorNodeFactory {entry('database', 'c_mktsegment')}')"
+        f" WHEN 3 THEN concat('org.sample.DBLoaderNodeFactory {entry('database', 'c_mktsegment')}{entry('schema', "'s', c_nationkey")}"
+        f"{entry('table', "'t', c_custkey")}{entry('batch_size', 'c_custkey')}{entry('if_exists', "'append'")}{entry('host', "'org.sample.inner.X'")}')"
+        f" ELSE concat('org.sample.DBReaderNodeFactory {entry('driver', "'oracle.jdbc.Driver'")}{entry('host', "'own'")}{entry('port', "'77'")}"
+        f"{entry('user', "'v', c_custkey")}{entry('warehouse', "'w', c_nationkey")}{entry('project_id', "'p', c_nationkey")}"
+        f"{entry('statement', "'SELECT 1 /* INSTANCIA: srv', c_custkey, ' */'")}') END"
     )
     docs = t.customer.select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"), content.alias("content"))
-    return W.connection_info(docs).select("path", "db_type", "host", "port", "database_name", "project")
+    return W.connection_info(docs, internal="org.sample.inner")
 
 
 def event_nodes(t):
@@ -211,7 +274,25 @@ def _(t):
     " substr(arg_min('node ' || user_id || ' of a long settings folder', event_id), 1, 25) AS sample FROM events WHERE event_type = 'error' GROUP BY ALL)",
 )
 def _(t):
-    return W.fallback_groups(event_nodes(t), "event_id")
+    return W.fallback_groups(event_nodes(t), "event_id", sample_chars=25)
+
+
+@query(
+    "node_methods",
+    "SELECT event_id, name, factory, CASE WHEN event_type = 'error' THEN 'Fallback' ELSE [template, 'Determinístico (' || template || ')',"
+    " 'LLM (' || template || ')', 'Injeção Direta', 'Template', template, 'Template'][kind + 1] END AS method, special,"
+    " CASE special WHEN 'StringManip_Deterministic' THEN 'StringManipulation' WHEN 'Java_LLM' THEN 'Java Snippet (LLM)'"
+    " WHEN 'PythonScript_Injected' THEN 'Python2Script' END AS kind, CASE special WHEN 'StringManip_Deterministic' THEN"
+    " 'Expressão → .apply(lambda)' WHEN 'Java_LLM' THEN 'Código Java → LLM → pandas' WHEN 'PythonScript_Injected' THEN"
+    " 'Código Python extraído e injetado' END AS translation FROM (SELECT event_id, event_type, kind,"
+    " 'node ' || user_id || ' of a long settings folder' AS name, 'org.sample.' || event_type || user_id % 3 AS factory,"
+    " CASE WHEN kind IN (0, 5) THEN 'Dedicado (' || label || ')' ELSE label END AS template,"
+    " CASE WHEN event_type <> 'error' AND kind IN (1, 2, 3) THEN label END AS special FROM (SELECT *, user_id % 7 AS kind,"
+    " ['Joiner_Wired', 'StringManip_Deterministic', 'Java_LLM', 'PythonScript_Injected', 'template', 'GroupBy_Extracted', '']"
+    "[user_id % 7 + 1] AS label FROM events))",
+)
+def _(t):
+    return W.node_methods(event_nodes(t), ["event_id", "name", "factory"])
 
 
 @query("distinct_factories", "SELECT DISTINCT event_type || user_id % 3 AS factory FROM events")

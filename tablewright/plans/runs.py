@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as R
 from ..session import new_path
-from ..sources.files import read_log_lines, report_lines
+from ..sources.files import read_log_lines, read_run_results, report_lines, write_report
 from .registry import query
 
 
@@ -125,23 +125,42 @@ def _(t):
     return R.report_rows(df, keep=["event_id"], reason_width=50)
 
 
-REPORT_CELLS = (
-    "concat_ws(' | ', rpad(CAST(orchestrator AS VARCHAR), 20, ' '), rpad(upper(status), 15, ' '),"
-    " strftime(\"start\", '%d/%m/%Y %H:%M:%S'), strftime(\"end\", '%d/%m/%Y %H:%M:%S'), repeat(' ', 50))"
+# The whole report: head, a line per event, summary.  n and m are the widths of name and reason.
+REPORT_SQL = (
+    "WITH w AS (SELECT greatest(20, max(length(CAST(user_id AS VARCHAR))))::INT AS n, greatest(50, max(length(props || ' ' || event_type)))::INT AS m,"
+    " count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS ok FROM events),"
+    " f AS (SELECT *, '+' || repeat('-', n + 2) || '+' || repeat('-', 17) || '+' || repeat('-', 21) || '+' || repeat('-', 21)"
+    " || '+' || repeat('-', m + 2) || '+' AS rule FROM w),"
+    " h AS (SELECT *, repeat('=', length(rule)) AS edge, '| ' || rpad('ORQUESTRADOR', n, ' ') || ' | ' || rpad('STATUS', 15, ' ') || ' | '"
+    " || rpad('INÍCIO', 19, ' ') || ' | ' || rpad('CONCLUSÃO', 19, ' ') || ' | ' || rpad('MOTIVO FALHA', m, ' ') || ' |' AS heads FROM f),"
+    " e AS (SELECT 0 AS section, [edge, '  RELATÓRIO DE EXECUÇÃO', '  Data: 31/01/2024 00:00:00', '  Duração Total: 12.50 segundos',"
+    " edge, '', rule, heads, rule] AS lines FROM h UNION ALL SELECT 2, [rule, '', 'RESUMO:', '  - Total de orquestradores: ' || total,"
+    " '  - Sucessos: ' || ok, '  - Falhas: ' || (total - ok), '  - Taxa de sucesso: ' || round_even(100.0 * ok / total, 1) || '%', '', edge] FROM h),"
+    " report AS (SELECT section, NULL::VARCHAR AS key, unnest(range(9)) AS place, unnest(lines) AS line FROM e UNION ALL"
+    " SELECT 1, strftime(ts, '%Y-%m-%d') || ' ' || event_id, 0, '| ' || concat_ws(' | ', rpad(CAST(orchestrator AS VARCHAR), n, ' '),"
+    " rpad(upper(status), 15, ' '), strftime(\"start\", '%d/%m/%Y %H:%M:%S'), strftime(\"end\", '%d/%m/%Y %H:%M:%S'),"
+    " rpad(props || ' ' || event_type, m, ' ')) || ' |'"
+    f" FROM {EVENT_RUNS} JOIN events USING (event_id) CROSS JOIN w)"
 )
 
 
-@query(
-    "run_report_lines",
-    f"SELECT 1 AS section, event_id AS place, '| ' || {REPORT_CELLS} || ' |' AS line FROM {EVENT_RUNS}"
-    " UNION ALL SELECT 2, 3, '  - Total de orquestradores: ' || count(*) FROM events"
-    " UNION ALL SELECT 2, 4, '  - Sucessos: ' || count(*) FILTER (WHERE event_type <> 'error') FROM events"
-    " UNION ALL SELECT 2, 5, '  - Falhas: ' || count(*) FILTER (WHERE event_type = 'error') FROM events",
-)
+def event_report(t):
+    reasons = t.events.select("event_id", F.concat_ws(" ", "props", "event_type").alias("err_msg"))
+    df = event_runs(t).join(reasons, "event_id").withColumn("key", F.concat_ws(" ", "script", F.col("event_id").cast("string")))
+    return report_lines(df, "key", 12.5, dt.datetime(2024, 1, 31), title="  RELATÓRIO DE EXECUÇÃO")
+
+
+@query("run_report_lines", f"{REPORT_SQL} SELECT section, key, place, line FROM report")
 def _(t):
-    df = event_runs(t).withColumn("err_msg", F.lit(""))
-    lines = report_lines(df, "event_id", 12.5, dt.datetime(2024, 1, 31), reason_width=50)
-    return lines.where("section = 1 OR section = 2 AND place BETWEEN 3 AND 5")
+    return event_report(t)
+
+
+@query("write_report", f"{REPORT_SQL} SELECT line FROM report")
+def _(t):
+    """Written in order, then read as text."""
+    path = new_path(t.spark, "report")
+    write_report(event_report(t), path)
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query(
@@ -172,6 +191,34 @@ def _(t):
     return R.flatten_runs(results)
 
 
+@query(
+    "read_run_results",
+    "SELECT c_nationkey AS nation, CASE WHEN c_nationkey = 7 THEN 'erro_json' ELSE 'sucesso_total' END AS status,"
+    " CASE WHEN c_nationkey <> 7 THEN CAST(c_nationkey AS VARCHAR) END AS name, CASE WHEN c_nationkey <> 7 THEN c_mktsegment END AS script,"
+    " CASE WHEN c_nationkey <> 7 THEN n END AS attempts, CASE WHEN c_nationkey <> 7 THEN top END AS seconds FROM"
+    " (SELECT c_nationkey, c_mktsegment, CAST(count(*) AS BIGINT) AS n, max(c_acctbal) AS top FROM customer GROUP BY ALL)"
+    " WHERE c_nationkey <> 7 UNION ALL SELECT DISTINCT 7, 'erro_json', NULL, NULL, NULL, NULL FROM customer WHERE c_nationkey = 7",
+)
+def _(t):
+    """A result document per nation, one of them broken off, a script per market segment."""
+    segments = t.customer.groupBy("c_nationkey", "c_mktsegment").agg(
+        F.count("*").alias("tentativas"), F.max("c_acctbal").alias("duracao_segundos")
+    )
+    script = F.struct(F.col("c_mktsegment").alias("nome_script"), "tentativas", "duracao_segundos")
+    results = segments.groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(script)).alias("resultados_scripts"))
+    document = F.to_json(
+        F.struct(F.col("nation").cast("string").alias("nome_orquestrador"), F.lit("sucesso_total").alias("status_geral"), "resultados_scripts")
+    )
+    text = F.when(F.col("nation") == 7, F.substring(document, 1, 40)).otherwise(document)
+    path = new_path(t.spark, "results")
+    results.select("nation", text.alias("value")).write.partitionBy("nation").text(path)
+    read = read_run_results(t.spark, path).select("nation", "status", "nome_orquestrador", F.explode_outer("resultados_scripts").alias("r"))
+    return read.select(
+        "nation", "status", F.col("nome_orquestrador").alias("name"), F.col("r.nome_script").alias("script"),
+        F.col("r.tentativas").alias("attempts"), F.col("r.duracao_segundos").alias("seconds"),
+    )
+
+
 @query("log_parse", "SELECT date_trunc('second', ts) AS ts, upper(event_type) AS level, props || ' | ' || user_id AS message FROM events")
 def _(t):
     """Written as text lines first, then read as a log."""

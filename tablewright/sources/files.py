@@ -90,16 +90,21 @@ def report_lines(
     at: dt.datetime,
     status: str = "status",
     reason_width: int | None = None,
+    title: str = REPORT_TITLE,
     **columns: str,
 ) -> DataFrame:
-    """The run report as rows ``(section, place, line)``; sorted by the first two they are its text.
+    """The run report as rows ``(section, key, place, line)``; sorted by the first three they are its text.
 
-    Section 0 is the head, 1 holds one line per run in the order of ``order_by``, 2 the
-    summary.  ``columns`` name the other columns as in :func:`report_rows`.
+    Section 0 is the head, 1 holds one line per run in the order of ``key``, which is the
+    column ``order_by``, 2 the summary; the other two are ordered by ``place``.  ``columns`` name
+    the other columns as in :func:`report_rows`.
     """
     cells = report_rows(runs, status=status, keep=[order_by], reason_width=reason_width, **columns)
     line = F.concat(F.lit("| "), F.concat_ws(" | ", "name", "status", "start", "end", "reason"), F.lit(" |"))
-    body = cells.select(F.lit(1).alias("section"), quoted(order_by).cast("bigint").alias("place"), line.alias("line"))
+    key_type = runs.schema[order_by].dataType
+    body = cells.select(
+        F.lit(1).alias("section"), quoted(order_by).alias("key"), F.lit(0).cast("bigint").alias("place"), line.alias("line")
+    )
 
     sums = run_summary(runs, status, duration=None)
     widest = runs.agg(F.max(F.length(quoted(columns.get("name", "orchestrator"))))).scalar()
@@ -113,12 +118,12 @@ def report_lines(
     def section(number: int, lines: list) -> DataFrame:
         texts = F.array(*[t if isinstance(t, Column) else F.lit(t) for t in lines])
         return frame.select(F.lit(number).alias("section"), F.posexplode(texts).alias("place", "line")).select(
-            "section", F.col("place").cast("bigint").alias("place"), "line"
+            "section", F.lit(None).cast(key_type).alias("key"), F.col("place").cast("bigint").alias("place"), "line"
         )
 
     head = section(0, [
         edge,
-        REPORT_TITLE,
+        title,
         REPORT_DATE + at.strftime("%d/%m/%Y %H:%M:%S"),
         REPORT_DURATION + f"{total_duration:.2f}" + REPORT_SECONDS,
         edge,
@@ -150,4 +155,4 @@ def write_report(lines: DataFrame, path: str, fmt: str = "text") -> None:
     if fmt == "csv":
         lines.write.mode("overwrite").option("header", True).csv(path)
         return
-    lines.orderBy("section", "place").select("line").write.mode("overwrite").text(path)
+    lines.orderBy("section", "key", "place").select("line").write.mode("overwrite").text(path)

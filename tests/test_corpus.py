@@ -140,7 +140,7 @@ def test_figures(spark):
     assert [tuple(r)[1:] for r in W.method_distribution(df).collect()] == [
         ("Dedicado", 1, 10.0), ("Determinístico", 1, 10.0), ("Injeção Direta", 1, 10.0), ("LLM", 1, 10.0), ("Template", 3, 30.0), ("Fallback", 3, 30.0),
     ]
-    assert [tuple(r) for r in W.fallback_groups(df, "i").collect()] == [
+    assert [tuple(r) for r in W.fallback_groups(df, "i", sample_chars=25).collect()] == [
         ("Unknown1", "a name of more than twent", 2, "a name of more than twent... (2x)"), ("Unknown2", "n10", 1, "n10"),
     ]
     assert [r[0] for r in W.distinct_factories(df).collect()] == ["Joiner", "Script", "StringManip", "Unknown1", "Unknown2"]
@@ -181,3 +181,33 @@ def test_connection_info(spark):
     assert (c["project"], c["port"], c["is_load"]) == ("proj", 99, False)
     assert (d["schema"], d["table"], d["is_load"], d["is_connector"]) == ("s", "t", True, False)
     assert got["e"]["hint_instance"] == "srv" and got["e"]["driver"] is None
+
+
+def test_connection_entries(spark):
+    rows = [
+        ("a", "org.x.DBLoaderNodeFactory" + entry("database", "d") + entry("batch_size", "500") + entry("if_exists", " append ")),
+        ("b", "org.x.JDBCConnectorNodeFactory" + entry("host", "org.inner.Host") + entry("role", "first") + entry("role", "second")),
+        ("c", "org.x.JDBCConnectorNodeFactory" + entry("host", "<none>") + entry("db_type", "oracle") + entry("timeout", "soon")
+         + entry("port_object_summary", "org.inner.Y")),
+        ("d", "org.x.JDBCConnectorNodeFactory" + entry("user", "") + entry("userName", "u") + entry("project_id", "p")),
+    ]
+    df = spark.createDataFrame(rows, "path string, content string")
+    got = {r["path"]: r for r in W.connection_info(df, internal="org.inner").collect()}
+    assert (got["a"]["project"], got["a"]["batch_size"], got["a"]["if_exists"]) == ("d", 500, "append")
+    assert (got["b"]["host"], got["b"]["role"]) == (None, "first")
+    c = got["c"]
+    assert (c["host"], c["db_type"], c["timeout"], c["port_object_summary"]) == (None, "oracle", None, "org.inner.Y")
+    assert (got["d"]["user"], got["d"]["project"]) == ("u", "p")
+
+
+def test_node_methods(spark):
+    rows = [("a", "Java_LLM", True), ("b", "Joiner_Wired", True), ("c", "", True), ("d", None, True), ("e", "Java_LLM", False)]
+    df = spark.createDataFrame(rows, "name string, template string, matched boolean")
+    got = {r["name"]: (r["method"], r["special"], r["kind"]) for r in W.node_methods(df, "name").collect()}
+    assert got == {
+        "a": ("LLM (Java_LLM)", "Java_LLM", "Java Snippet (LLM)"),
+        "b": ("Dedicado (Joiner_Wired)", None, None),
+        "c": ("Template", None, None),
+        "d": ("Template", None, None),
+        "e": ("Fallback", None, None),
+    }

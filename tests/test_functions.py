@@ -123,10 +123,11 @@ def test_text_changes(spark):
 @pytest.mark.parametrize("sep", [",", ".", "|", "\\", "^-", "ab"])
 def test_split_cell(spark, sep):
     df = texts(spark, sep.join("xyz"), "x", None)
-    out = split_cell(df, "t", sep)
+    out = split_cell(df, "t", sep, 3)
     assert out.columns == ["t", "t_0", "t_1", "t_2"]
     assert [tuple(r)[1:] for r in out.collect()] == [("x", "y", "z"), ("x", None, None), (None, None, None)]
     assert split_cell(df, "t", sep, 2).columns == ["t", "t_0", "t_1"]
+    assert [r["t_parts"] for r in split_cell(df, "t", sep).collect()] == [["x", "y", "z"], ["x"], None]
 
 
 def test_dates(spark):

@@ -89,6 +89,24 @@ def test_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("how, shuffles", [("left", 3), ("outer", 4)])
+def test_shuffles(spark, how, shuffles):
+    """The rows without a partner use the shuffles of the inner join again."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        out = join_tables(read("orders"), read("customer"), "o_custkey", "c_custkey", how=how)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    lines = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+    assert len(lines) == shuffles
+
+
 def test_hot_key_is_split(spark):
     """The join of a key with a third of all rows runs in several tasks, for outer joins too."""
     settings = {

@@ -40,7 +40,7 @@ def test_names_in_filters_and_columns(odd):
     assert keep_columns(odd, ["x y.z", "n`n"]).columns == ["x y.z", "n`n"]
     assert round_columns(odd).columns == NAMES
     assert number_to_string(odd, "n`n").dtypes[2] == ("n`n", "string")
-    assert split_cell(odd, "t-t", "e").columns[-2:] == ["t-t_0", "t-t_1"]
+    assert split_cell(odd, "t-t", "e", 2).columns[-2:] == ["t-t_0", "t-t_1"]
     assert fill_missing(odd.drop("n`n", "g.x", "x y.z"), {"key one": "?"}).where("`key one` = '?'").count() == 1
     assert "date_diff" in date_diff(odd, "d d", "d d").columns
 
