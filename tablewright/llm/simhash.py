@@ -38,6 +38,7 @@ from ..missing import quoted
 from ..session import materialize
 from .common import corpus_table, free_name
 from .components import component_roots
+from .near_copies import near_copy_components
 
 RADIUS = 3
 SEED = 42  # fixed value of the shingle hash
@@ -127,9 +128,10 @@ def near_components(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component with all its columns: that of the smallest id; of rows
-    with that same id the one with the smallest text."""
-    found = near_components(fingerprints(docs, id_col=id_col, text_col=text_col), id_col)
-    least = found.groupBy("component_id").agg(F.min(quoted(id_col)).alias("id"))
+    with that same id the one with the smallest text.  Components are those of ``near_copies``:
+    five-word shingles, similarity 0.8 or more, not those of fingerprints."""
+    found = near_copy_components(docs, id_col, text_col)
+    least = found.groupBy("component_id").agg(F.min("id").alias("id"))
     absent, known = (free_name(docs, x) for x in ("id_absent", "id_known"))
     stay = least.select(F.col("id").isNull().alias(absent), F.coalesce("id", F.lit(0)).alias(known)).distinct()
     whole = docs.withColumns(
