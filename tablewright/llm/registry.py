@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "anchors", "neighbours", "exact_dedup", "bpe", "simhash", "chat", "repeats", "url_filter", "mixing", "fill_middle", "decontaminate")
+MODULES = ("quality", "anchors", "neighbours", "exact_dedup", "bpe", "simhash", "chat", "repeats", "url_filter", "mixing", "fill_middle", "decontaminate", "divergence")
 
 CORPUS_QUERIES: dict = {}
 CORPUS_ORACLE: dict = {}
