@@ -164,7 +164,7 @@ def window_features(piece: bytes) -> np.ndarray:
     starts, ends = edge[::2], edge[1::2]
     repeats = 0
     if len(starts) > 1:
-        sums = np.concatenate(([0], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _position_keys(starts, ends, len(raw)))))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _position_keys(starts, ends, len(raw)))))
         words = sums[ends] - sums[starts]
         repeats = int(np.count_nonzero((words[1:] == words[:-1]) & (np.diff(ends - starts) == 0)))
     return np.concatenate([hashed.astype(np.int64), np.full(repeats, _REPEAT, np.int64)])

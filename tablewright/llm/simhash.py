@@ -38,7 +38,8 @@ from ..missing import quoted
 from ..session import materialize
 from .common import corpus_table, free_name
 from .components import component_roots
-from .near_copies import near_copy_components
+from .exact_dedup import text_digest
+from .near_copies import near_copy_classes
 
 RADIUS = 3
 SEED = 42  # fixed value of the shingle hash
@@ -127,17 +128,21 @@ def near_components(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component with all its columns: that of the smallest id; of rows
-    with that same id the one with the smallest text.  Components are those of ``near_copies``:
-    five-word shingles, similarity 0.8 or more, not those of fingerprints."""
-    found = near_copy_components(docs, id_col, text_col)
-    least = found.groupBy("component_id").agg(F.min("id").alias("id"))
-    absent, known = (free_name(docs, x) for x in ("id_absent", "id_known"))
-    stay = least.select(F.col("id").isNull().alias(absent), F.coalesce("id", F.lit(0)).alias(known)).distinct()
+    """One document of each component with all its columns: that of the smallest id, a null id being
+    the largest; of those with one id the text with the smallest digest.  Repeated rows are one.
+    Components are those of ``near_copies``: five-word shingles, similarity 0.8 or more, not those of
+    fingerprints."""
+    id_, text = quoted(id_col), quoted(text_col)
+    found = near_copy_classes(docs, id_col, text_col)
+    best = F.min(F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.col("digest")))
+    mark, absent, known = keys = [free_name(docs, x) for x in ("digest", "id_absent", "id_known")]
+    stay = found.groupBy("root").agg(best.alias("best")).select(
+        F.col("best.digest").alias(mark), F.col("best.col1").alias(absent), F.col("best.col2").alias(known)
+    )
     whole = docs.withColumns(
-        {absent: quoted(id_col).isNull(), known: F.coalesce(quoted(id_col).cast("bigint"), F.lit(0))}
+        {mark: text_digest(text), absent: id_.isNull(), known: F.coalesce(id_.cast("bigint"), F.lit(0))}
     )
-    picked = whole.join(stay.hint("merge"), [absent, known], "left_semi").dropDuplicates([absent, known])
+    picked = whole.join(stay.hint("merge"), keys, "left_semi").dropDuplicates(keys)
     return picked.select(*[quoted(c) for c in docs.columns])
 
 

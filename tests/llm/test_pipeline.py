@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as p
 from tablewright.llm import bpe, quality
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_copies import plain_kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,8 +39,8 @@ def test_stages(spark, steps):
         largest[r.text] = max(r.doc_id, largest.get(r.text, r.doc_id))
     assert Counter(rows[2]) == Counter(r for r in rows[1] if largest[r.text] == r.doc_id)
 
-    classes = plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in rows[2]])
-    assert Counter(rows[3]) == Counter(r for r in rows[2] if classes[r.doc_id] == r.doc_id)
+    kept_ids = set(plain_kept([(r.doc_id, r.text) for r in rows[2]]))
+    assert Counter(rows[3]) == Counter(r for r in rows[2] if r.doc_id in kept_ids)
     assert len(rows[3]) <= len(rows[2]) < len(rows[1]) < len(rows[0])
 
     times = Counter(r.doc_id for r in rows[4])
@@ -80,6 +80,9 @@ def test_odd_rows(spark):
         if name != "encode":
             assert out.columns == docs.columns
             out.collect()
+    # Of six different documents none is near another; the two of id 4 and 3 are one, as are null and empty.
+    near = p.near_dedup(spark, docs, FOLDER).collect()
+    assert sorted(str(r.doc_id) for r in near) == ["1", "3", "None", "None"]
     kept = p.exact_dedup(spark, docs, FOLDER).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["2", "4", "None", "None"]
 
