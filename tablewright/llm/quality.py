@@ -4,13 +4,14 @@ Overlapping heuristic labellers vote good, bad or abstain on every text.  The vo
 whole corpus are counted per vote pattern (3 to the power of the number of labellers at
 most, 2187 rows), and expectation-maximisation over these counts estimates the accuracy of
 each labeller in each class and the share of good texts.  Posteriors of a bounded sample,
-``train_rows`` documents in expectation, picked by a hash of the id, train a logistic scorer
+``train_rows`` documents in expectation, picked by a hash of id and text, train a logistic scorer
 on hashed features; the scorer then judges every document.
 
 Features are computed with numpy over the bytes of the text: hashed three-byte windows over
 character classes (case, digits, blanks, each punctuation mark) and a marker for words
 that repeat the word before them.  Each feature is a share of the text's windows, so a score is one
-sum over the text; texts go through in pieces of a mebibyte, whatever their length.
+sum over the text; texts go through in pieces of a mebibyte, whatever their length, cut before
+blanks and overlapping by a word.
 
 Defined results: a null or blank text has no feature and the score of an empty text, which
 is kept.  Null ids and repeated rows are scored like any other; an
@@ -20,6 +21,7 @@ empty table gives an empty result; a corpus in which no labeller votes keeps eve
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..missing import quoted
 from .common import BLANK_RUN, BLANKS, corpus_table, free_name
+from .exchange import mix64
 
 GOOD, BAD, ABSTAIN = 1, 0, -1
 TRAIN_ROWS = 4000  # expected size of the training sample
@@ -146,13 +149,14 @@ def _class_table() -> np.ndarray:
 
 
 _CLASS = _class_table()
+_BLANK, _LAST_WORD = re.compile(rb"[ \t-\r]"), re.compile(rb"[^ \t-\r]+\Z")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _REPEAT = DIMENSIONS  # the marker's place, after the hashed windows
 
 
-def window_features(piece: bytes) -> np.ndarray:
-    """Feature numbers of a piece of text: one for each three-byte window, one for each word
-    that equals the word before it."""
+def window_features(piece: bytes, skip: int = 0) -> np.ndarray:
+    """Feature numbers of a piece of text: one for each three-byte window but the first ``skip``, one for
+    each word that equals the word before it."""
     raw = np.frombuffer(piece, np.uint8)
     codes = _CLASS[raw]
     if len(raw) < 3:
@@ -167,7 +171,7 @@ def window_features(piece: bytes) -> np.ndarray:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _position_keys(starts, ends, len(raw)))))
         words = sums[ends] - sums[starts]
         repeats = int(np.count_nonzero((words[1:] == words[:-1]) & (np.diff(ends - starts) == 0)))
-    return np.concatenate([hashed.astype(np.int64), np.full(repeats, _REPEAT, np.int64)])
+    return np.concatenate([hashed[skip:].astype(np.int64), np.full(repeats, _REPEAT, np.int64)])
 
 
 def _position_keys(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -177,22 +181,32 @@ def _position_keys(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     inside = np.repeat(starts, lengths)
     at = np.arange(len(inside)) + np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
     place[at] = at - inside + 1
-    return (place.astype(np.uint64) * _ODD) ^ (place.astype(np.uint64) << np.uint64(17))
+    return mix64(place.astype(np.uint64) * _ODD)
 
 
-def _pieces(text: str) -> Iterator[bytes]:
-    raw = text.encode()
-    for i in range(0, len(raw), PIECE):
-        yield raw[i : i + PIECE]
+def _pieces(text: str) -> Iterator[tuple[bytes, int]]:
+    """Pieces of about PIECE bytes that end before a blank, and how many of their first windows belong to
+    the piece before: each begins with the last word of that piece, so no window and no repeated
+    word is lost or counted twice."""
+    raw, start, back = text.encode(), 0, 0
+    while True:
+        blank = _BLANK.search(raw, start + PIECE)
+        if not blank:
+            yield raw[back:], start - back
+            return
+        end = blank.start()
+        yield raw[back:end], start - back
+        last = _LAST_WORD.search(raw[back:end].rstrip())
+        start, back = end - 2, min(back + last.start() if last else end, end - 2)
 
 
 def text_shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sparse feature vector: places and shares of the text's windows."""
     counts, total = np.zeros(DIMENSIONS + 1), 0
-    for piece in _pieces(text):
-        found = window_features(piece)
+    for piece, skip in _pieces(text):
+        found = window_features(piece, skip)
         counts += np.bincount(found, minlength=DIMENSIONS + 1)
-        total += max(0, len(piece) - 2)
+        total += max(0, len(piece) - 2 - skip)
     places = np.flatnonzero(counts)
     return places, counts[places] / max(1, total)
 
@@ -205,9 +219,9 @@ class Scorer:
     def probability(self, text: str) -> float:
         """Probability that the text is good."""
         score, total = 0.0, 0
-        for piece in _pieces(text):
-            score += float(self.weights[window_features(piece)].sum())
-            total += max(0, len(piece) - 2)
+        for piece, skip in _pieces(text):
+            score += float(self.weights[window_features(piece, skip)].sum())
+            total += max(0, len(piece) - 2 - skip)
         if not total:
             return 1.0
         return 1 / (1 + float(np.exp(-np.clip(score / total + self.bias, -30, 30))))
@@ -244,10 +258,8 @@ def fit_quality_model(
 
     The driver receives the vote pattern counts and the sample's sparse vectors, both bounded.
     """
-    texts = docs.select(
-        F.pmod(F.xxhash64(quoted(id_col), F.lit(11)), F.lit(1 << 30)).alias("draw"),
-        F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"),
-    )
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    texts = docs.select(quoted(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
     names = list(LABELLERS)
     voted = labeller_votes(texts.select("text"))
     patterns = sorted(tuple(r) for r in voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect())
@@ -256,7 +268,10 @@ def fit_quality_model(
     total = int(table[:, -1].sum())
 
     share = min(1.0, train_rows / max(1, total))
-    chosen = texts.where(F.col("draw") < int(share * (1 << 30))).select("text", F.col("text").alias("whole"))
+    # Rows of one id are drawn one by one; repeated rows, however many, are one.
+    draw = F.pmod(F.xxhash64("id", "digest", F.lit(11)), F.lit(1 << 30))
+    chosen = texts.where(draw < int(share * (1 << 30))).dropDuplicates(["id", "digest"])
+    chosen = chosen.select("text", F.col("text").alias("whole"))
     sample = labeller_votes(chosen).withColumnRenamed("whole", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

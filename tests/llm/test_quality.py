@@ -77,3 +77,42 @@ def test_edge_rows(spark):
     silent = docs.where("doc_id = 4")
     assert q.keep_good(silent).count() == 1
     assert q.labeller_votes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).count() == 6
+
+
+def test_repeats_in_all_documents(spark):
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect():
+        words = r.text.encode().split()
+        assert (q.window_features(r.text.encode()) == q._REPEAT).sum() == sum(a == b for a, b in zip(words, words[1:]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab  \né", max_size=60), st.sampled_from([3, 5, 16]))
+def test_pieces_lose_nothing(text, size):
+    whole = q.window_features(text.encode())
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(q, "PIECE", size)
+        parts = [q.window_features(*piece) for piece in q._pieces(text)]
+    assert sorted(np.concatenate(parts).tolist()) == sorted(whole.tolist())
+
+
+def test_scorer_against_a_dense_version(monkeypatch):
+    monkeypatch.setattr(q, "DIMENSIONS", 5)
+    rng = np.random.default_rng(4)
+    x = rng.random((30, 6)) * (rng.random((30, 6)) < 0.5)
+    good = rng.random(30)
+    spread = x.std(axis=0)
+    z, w, bias, seen, seen_bias = (x - x.mean(axis=0)) / (spread + 1e-4), np.zeros(6), 0.0, np.full(6, 1e-8), 1e-8
+    for _ in range(300):
+        error = 1 / (1 + np.exp(-(z @ w + bias))) - good
+        slope = z.T @ error / 30 + 1e-3 * w
+        seen, seen_bias = seen + slope**2, seen_bias + error.mean() ** 2
+        w, bias = w - 0.1 * slope / np.sqrt(seen), bias - 0.1 * error.mean() / np.sqrt(seen_bias)
+    scorer = q.fit_scorer([(np.flatnonzero(row), row[row != 0]) for row in x], good)
+    assert np.allclose(x @ scorer.weights + scorer.bias, z @ w + bias, atol=1e-6)
+
+
+def test_repeated_rows_are_drawn_once(spark):
+    docs = spark.createDataFrame([(None, f"text {i} of many. " * 9) for i in range(50)] + [(7, "again and again. " * 9)] * 500, "doc_id long, text string")
+    model, scorer = q.fit_quality_model(docs)
+    _, same = q.fit_quality_model(docs.distinct())
+    assert np.array_equal(scorer.weights.shape, same.weights.shape) and 0 < model.prior < 1
