@@ -13,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..missing import as_list, check_columns, numeric_columns, quoted, same_keys, value
-from .ranking import BEFORE, SIZE, weights_before
+from .ranking import BEFORE, weights_before
+from .selection import medians
 
 # Display names of the aggregation methods.
 METHOD_NAMES = {
@@ -78,16 +79,7 @@ def _mode(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
 
 
 def _median(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    ranked = weights_before(_value_counts(df, keys, col), keys, ["__value"], "__n")
-    # 0-based ranks of the two middle rows; they coincide for an odd size.
-    low, high = F.expr(f"({SIZE} - 1) div 2"), F.expr(f"{SIZE} div 2")
-    covers = lambda rank: (F.col(BEFORE) <= rank) & (rank < F.col(BEFORE) + F.col("__n"))
-    middle = F.col("__value").cast("double")
-    return (
-        ranked.where(covers(low) | covers(high))
-        .groupBy(*[quoted(k) for k in keys])
-        .agg(((F.min(middle) + F.max(middle)) / 2).alias(col))
-    )
+    return medians(df, keys, value(df, col), col)
 
 
 SEPARATE = {"median": _median, "mode": _mode}

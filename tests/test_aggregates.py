@@ -1,8 +1,13 @@
+import random
+import statistics
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright import aggregate_columns, group_by, list_pieces
+from tablewright.operators import selection
 
 from .fixtures import edge, edge_empty, hot, hot_rows
 
@@ -100,3 +105,47 @@ def test_list_pieces_are_the_whole_list(spark):
     for key, values in lists.items():
         assert [v for v in values if v is not None] == [v for v in want[key] if v == v]
         assert [v is None for v in values] == [v != v for v in want[key]]
+
+
+def values_of(spark, groups):
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs]
+    random.Random(5).shuffle(rows)
+    return spark.createDataFrame(rows, "k string, v double").repartition(6)
+
+
+def test_medians_of_hot_groups(spark, monkeypatch):
+    """Several passes: brackets of many values, heavy values, ties on both sides of the middle."""
+    monkeypatch.setattr(selection, "FEW", 20)
+    monkeypatch.setattr(selection, "ACCURACY", 50)
+    rng = random.Random(4)
+    groups = {
+        "wide": [rng.expovariate(1) * 10 ** rng.randint(-20, 20) for _ in range(9001)],
+        "even": [rng.gauss(0, 1) for _ in range(8000)],
+        "one value": [7.25] * 3000,
+        "two values": [1.0] * 1500 + [2.0] * 1500,
+        "two, uneven": [1.0] * 1501 + [2.0] * 1500,
+        "half infinite": [float("inf")] * 700 + [float("-inf")] * 699 + [0.0],
+        "few": [3.0, 1.0],
+        None: list(range(500)),
+    }
+    df = values_of(spark, groups)
+    want = {k: statistics.median(vs) for k, vs in groups.items()}
+    got = {r["k"]: r["v"] for r in group_by(df, "k", {"v": "median"}, keep_null_keys=True).collect()}
+    assert got == want
+    for k, vs in groups.items():
+        one = df.where(df["k"].eqNullSafe(k)).drop("k")
+        assert group_by(one, [], {"v": "median"}).first()["v"] == want[k]
+    empty = df.withColumn("v", F.lit(None).cast("double"))
+    assert {r["v"] for r in group_by(empty, "k", {"v": "median"}).collect()} == {None}
+
+
+def test_median_shuffles_counters_only(spark, monkeypatch):
+    monkeypatch.setattr(selection, "FEW", 20)
+    plan = group_by(values_of(spark, {"a": range(900), "b": [1]}), "k", {"v": "median"})._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "RepartitionByExpression" not in plan
+
+
+def test_median_of_long_integers(spark, monkeypatch):
+    monkeypatch.setattr(selection, "FEW", 20)
+    df = spark.range(1 << 60, (1 << 60) + 5000).select(F.lit(1).alias("k"), "id")
+    assert group_by(df, "k", {"id": "median"}).first()["id"] == float((1 << 60) + 2500)
