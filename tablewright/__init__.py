@@ -48,6 +48,14 @@ from .operators.params import (
     with_params,
 )
 from .operators.python_code import for_each_group, python_table, python_two_tables, row_function
+from .operators.sketches import (
+    append_sketches,
+    distinct_bound,
+    distinct_sketches,
+    estimate_distinct,
+    merge_sketches,
+    read_sketches,
+)
 from .operators.rows import (
     add_empty_rows,
     concat_tables,
@@ -59,7 +67,9 @@ from .operators.rows import (
     sort_rows,
     top_n,
 )
+from .operators.sweeps import threshold_sweep
 from .session import configure, intermediate_tables, materialize, shared_dir
+from .sources.batches import append_batch, read_batches, remove_unpublished
 from .sources.files import read_log_lines, read_run_results, report_lines, scan_docs, write_report
 from .sources.sql import NamedQueries, named_queries, read_sql
 from .sources.tables import jdbc_options, read_jdbc, read_table, write_table

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..missing import as_list, check_columns, numeric_columns, quoted, same_keys, value
 from .ranking import BEFORE, weights_before
 from .selection import medians
+from .sketches import approx_distinct
 
 # Display names of the aggregation methods.
 METHOD_NAMES = {
@@ -91,13 +92,15 @@ def group_by(
     aggs: Mapping[str, str] | None = None,
     order_by: Sequence[str] | str | None = None,
     keep_null_keys: bool = False,
+    approx: bool = False,
 ) -> DataFrame:
     """One row per group; each aggregated column keeps its name.
 
     ``aggs`` maps a column to a method.  Without it, every other column gives its first
     non-missing value.  Groups with a missing key are dropped unless ``keep_null_keys``.
     ``first``/``last`` are deterministic only with ``order_by``.  No keys and no
-    ``aggs`` return the table unchanged; no keys aggregate the whole table.
+    ``aggs`` return the table unchanged; no keys aggregate the whole table.  ``approx`` estimates
+    distinct counts from sketches (see ``sketches``), whose error :func:`distinct_bound` states.
     """
     keys = as_list(keys)
     check_columns(df, keys)
@@ -120,7 +123,9 @@ def group_by(
 
     built_in = {}
     for c, m in methods.items():
-        if m in SIMPLE:
+        if m == "nunique" and approx:
+            built_in[c] = approx_distinct(df, c)
+        elif m in SIMPLE:
             built_in[c] = SIMPLE[m](value(df, c))
         elif m in ("first", "last"):
             built_in[c] = _edge(df, c, m, order_by)

@@ -41,7 +41,7 @@ def with_params(df: DataFrame, params_df: DataFrame) -> DataFrame:
 
 def param_sweep(
     df: DataFrame,
-    grid: Mapping[str, Sequence],
+    grid: Mapping[str, Sequence] | DataFrame,
     metric: Callable[[dict], Column],
     best: str | None = None,
     width: int = 50,
@@ -50,11 +50,18 @@ def param_sweep(
 
     ``metric`` turns one combination into an aggregate column.  All combinations of
     a slice of ``width`` are aggregated in the same pass, so rows are not repeated.
-    ``best`` ("max" or "min") keeps the best combination only.
+    ``best`` ("max" or "min") keeps the best combination only.  ``grid`` maps names to values, or is a
+    table of combinations, which come to the driver as they become expressions; for a table of thresholds use
+    :func:`threshold_sweep`, which takes one pass for all.
     """
     if best not in (None, "max", "min"):
         raise ValueError("best is 'max', 'min' or None")
-    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    if isinstance(grid, DataFrame):
+        names, points = grid.columns, [row.asDict() for row in grid.distinct().collect()]
+        if not points:
+            return grid.select("*", F.lit(None).cast(df.agg(metric(dict.fromkeys(names))).schema[0].dataType).alias("metric"))
+    else:
+        names, points = list(grid), [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     out = None
     for at in range(0, len(points), width):
         part = points[at : at + width]
@@ -66,7 +73,6 @@ def param_sweep(
         table = wide.select(F.inline(F.array(*rows)))
         out = table if out is None else out.unionByName(table)
     if best:
-        names = list(grid)
         order = order_columns(out, ["metric", *names], [best == "min"] + [True] * len(names))
         out = out.orderBy(*order).limit(1)
     return out

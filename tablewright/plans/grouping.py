@@ -5,7 +5,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import aggregate_columns, group_by, list_pieces
+from ..operators.joins import join_tables
 from ..operators.python_code import for_each_group, python_table, python_two_tables, row_function
+from ..operators.sketches import append_sketches, distinct_bound, estimate_distinct, merge_sketches, read_sketches
+from ..session import new_path
 from .registry import query
 
 
@@ -85,6 +88,35 @@ def _(t):
     return group_by(t.lineitem, "l_returnflag", {"l_partkey": "Unique count"})
 
 
+@query("group_nunique_approx", "SELECT DISTINCT l_returnflag, true AS within FROM lineitem")
+def _(t):
+    """Whether the estimate is within the stated error of the exact count."""
+    exact = group_by(t.lineitem, "l_returnflag", {"l_partkey": "Unique count"}).withColumnRenamed("l_partkey", "exact")
+    near = group_by(t.lineitem, "l_returnflag", {"l_partkey": "Unique count"}, approx=True)
+    within = F.abs(F.col("l_partkey") - F.col("exact")) <= distinct_bound() * F.col("exact")
+    return join_tables(near, exact, "l_returnflag").select("l_returnflag", within.alias("within"))
+
+
+@query(
+    "distinct_sketch_table",
+    "SELECT DISTINCT o_orderstatus, true AS within FROM orders UNION ALL SELECT NULL, true",
+)
+def _(t):
+    """Sketches of two batches of orders, the second of them added twice; the last row is the merge of all groups."""
+    path = new_path(t.spark, "sketches")
+    early = F.col("o_orderkey") % 3 == 0
+    for batch, rows in (("1", t.orders.where(early)), ("2", t.orders.where(~early)), ("2", t.orders.where(~early))):
+        append_sketches(rows, path, batch, "o_orderstatus", "o_custkey")
+    stored = read_sketches(t.spark, path, "o_orderstatus", "o_custkey")
+    whole = merge_sketches(stored, [], "o_custkey").withColumn("o_orderstatus", F.lit(None).cast("string"))
+    near = estimate_distinct(stored.unionByName(whole), "o_custkey")
+    exact = group_by(t.orders, "o_orderstatus", {"o_custkey": "Unique count"}).unionByName(
+        group_by(t.orders, [], {"o_custkey": "Unique count"}).withColumn("o_orderstatus", F.lit(None).cast("string"))
+    ).withColumnRenamed("o_custkey", "exact")
+    within = F.abs(F.col("o_custkey") - F.col("exact")) <= distinct_bound() * F.col("exact")
+    return join_tables(near, exact, "o_orderstatus").select("o_orderstatus", within.alias("within"))
+
+
 @query(
     "group_list",
     "SELECT user_id, CAST(n // 20 AS BIGINT) AS piece, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY n) AS ids FROM"

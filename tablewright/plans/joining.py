@@ -12,6 +12,7 @@ from ..operators.params import (
     table_or_else,
     with_params,
 )
+from ..operators.sweeps import threshold_sweep
 from .registry import query
 
 
@@ -160,6 +161,35 @@ def _(t):
     return param_sweep(t.lineitem, {"q": [10, 20, 40]}, lambda p: F.count_if(F.col("l_quantity") > p["q"]), "max")
 
 
+@query(
+    "threshold_sweep",
+    "SELECT o_orderkey, o_totalprice, CAST(n AS BIGINT) AS n, CAST(coalesce(cents, 0) AS BIGINT) AS cents, top, round(mean, 6) AS mean"
+    " FROM (SELECT o_orderkey, v AS o_totalprice, count(l_quantity) OVER w AS n, sum(c) OVER w AS cents, max(l_quantity) OVER w AS top,"
+    " avg(l_quantity) OVER w AS mean FROM (SELECT NULL AS o_orderkey, l_extendedprice AS v, l_quantity,"
+    " CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem"
+    " UNION ALL SELECT o_orderkey, o_totalprice, NULL, NULL FROM orders)"
+    " WINDOW w AS (ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE o_orderkey IS NOT NULL",
+)
+def _(t):
+    """Lines up to the price of each order: as many thresholds as orders, one pass over the lines."""
+    lines = t.lineitem.select(
+        "l_extendedprice", "l_quantity", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c")
+    )
+    metrics = {"n": ("count", "l_quantity"), "cents": ("sum", "c"), "top": ("max", "l_quantity"), "mean": ("mean", "l_quantity")}
+    found = threshold_sweep(lines, "l_extendedprice", t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", metrics)
+    return found.withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    "param_sweep_table",
+    "SELECT n_name, n_nationkey, CAST(count(*) FILTER (WHERE c_nationkey > n_nationkey) AS BIGINT) AS metric"
+    " FROM customer, nation GROUP BY ALL",
+)
+def _(t):
+    grid = t.nation.select("n_name", "n_nationkey")
+    return param_sweep(t.customer, grid, lambda p: F.count_if(F.col("c_nationkey") > F.lit(p["n_nationkey"])))
+
+
 @query(
     "db_loop_semi",
     "SELECT * FROM lineitem WHERE l_partkey * 7 IN (SELECT o_orderkey FROM orders)",

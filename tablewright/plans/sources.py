@@ -1,5 +1,7 @@
 """Queries for SQL texts and stored tables, and the flagship query."""
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import group_by
@@ -8,6 +10,7 @@ from ..operators.joins import join_tables
 from ..operators.params import row_to_params
 from ..operators.rows import sort_rows
 from ..session import new_path
+from ..sources.batches import append_batch, read_batches
 from ..sources.sql import named_queries, read_sql
 from ..sources.tables import read_table, write_table
 from .registry import query
@@ -68,3 +71,18 @@ def _(t):
     write_table(t.customer, path)
     write_table(t.customer, path)
     return read_table(t.spark, "parquet", path)
+
+
+@query("append_batch", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(t):
+    """Two batches, one added twice and one broken off half-way at first: each row is there once."""
+    path = new_path(t.spark, "batches")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    odd = F.col("o_orderkey") % 2 == 1
+    append_batch(rows.where(odd), path, "odd")
+    append_batch(rows.where(odd), path, "odd")
+    broken = F.when(F.col("o_orderkey") % 10 == 8, F.raise_error(F.lit("broken off")).cast("bigint")).otherwise(F.col("o_orderkey"))
+    with contextlib.suppress(Exception):
+        append_batch(rows.where(~odd).withColumn("o_orderkey", broken), path, "even")
+    append_batch(rows.where(~odd), path, "even")
+    return read_batches(t.spark, path)

@@ -6,10 +6,20 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright import aggregate_columns, group_by, list_pieces
+from tablewright import (
+    aggregate_columns,
+    append_sketches,
+    distinct_bound,
+    distinct_sketches,
+    estimate_distinct,
+    group_by,
+    list_pieces,
+    merge_sketches,
+    read_sketches,
+)
 from tablewright.operators import selection
 
-from .fixtures import edge, edge_empty, hot, hot_rows
+from .fixtures import edge, edge_empty, hot, hot_rows, rows
 
 
 def frame():
@@ -149,3 +159,30 @@ def test_median_of_long_integers(spark, monkeypatch):
     monkeypatch.setattr(selection, "FEW", 20)
     df = spark.range(1 << 60, (1 << 60) + 5000).select(F.lit(1).alias("k"), "id")
     assert group_by(df, "k", {"id": "median"}).first()["id"] == float((1 << 60) + 2500)
+
+
+def test_sketches(spark, tmp_path):
+    path = str(tmp_path / "sketches")
+    df = spark.range(60_000).select((F.col("id") % 4).alias("k"), (F.col("id") * 7 % 9001).alias("v"), F.col("id").cast("string").alias("t"))
+    df = df.withColumn("k", F.when(F.col("k") > 0, F.col("k"))).repartition(5)
+    exact = {r["k"]: (r["v"], r["t"]) for r in df.groupBy("k").agg(F.countDistinct("v").alias("v"), F.countDistinct("t").alias("t")).collect()}
+    near = lambda got, want: abs(got - want) <= distinct_bound() * want
+    for r in group_by(df, "k", {"v": "nunique", "t": "nunique"}, keep_null_keys=True, approx=True).collect():
+        assert near(r["v"], exact[r["k"]][0]) and near(r["t"], exact[r["k"]][1])
+    for batch in ("a", "b", "b"):
+        append_sketches(df.where("v < 5000" if batch == "a" else "v > 4000"), path, batch, "k", ["v", "t"])
+    stored = read_sketches(spark, path, "k", ["v", "t"])
+    assert stored.dtypes == [("k", "bigint"), ("v", "binary"), ("t", "binary")]
+    for r in estimate_distinct(stored, ["v", "t"]).collect():
+        assert near(r["v"], exact[r["k"]][0]) and near(r["t"], exact[r["k"]][1])
+    whole = estimate_distinct(merge_sketches(stored, [], ["v", "t"]), ["v", "t"]).first()
+    assert near(whole["v"], 9001) and near(whole["t"], 60_000)
+
+
+def test_sketches_of_missing_values(spark):
+    df = spark.createDataFrame([(1, None, float("nan")), (1, None, 2.0), (2, "a", 2.0), (2, "a", float("nan"))], "k int, t string, x double")
+    assert rows(group_by(df, "k", {"t": "nunique", "x": "nunique"}, approx=True)) == [(1, 0, 1), (2, 1, 1)]
+    assert group_by(df.where("false"), [], {"t": "nunique"}, approx=True).first()["t"] == 0
+    made = distinct_sketches(df, "k", ["t", "x"])
+    assert rows(estimate_distinct(made, ["t", "x"])) == [(1, 0, 1), (2, 1, 1)]
+    assert merge_sketches(made.where("false"), "k", "t").count() == 0

@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from tablewright import (
     row_function,
     row_to_params,
     table_or_else,
+    threshold_sweep,
     with_params,
 )
 
@@ -108,3 +111,47 @@ def test_group_output_expressions(spark):
         edge(spark), ["g"], lambda r: {"n": len(r)}, lambda s: {"n": s["n"].sum()}, "n bigint", {"twice": "n * 2"}
     )
     assert {r["g"]: r["twice"] for r in out.collect()} == {"g1": 6, "g2": 4}
+
+
+METRICS = {"n": ("count", "w"), "total": ("sum", "w"), "low": ("min", "w"), "high": ("max", "w"), "mean": ("mean", "w")}
+TESTS = {"<=": lambda v, t: v <= t, "<": lambda v, t: v < t, ">=": lambda v, t: v >= t, ">": lambda v, t: v > t}
+
+
+@pytest.mark.parametrize("keep", TESTS)
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("kind", [int, float])
+def test_threshold_sweep(spark, keep, limit, kind):
+    rng = random.Random(3)
+    rows = [(None if rng.random() < 0.1 else kind(rng.randint(0, 60)), rng.choice([None, *range(9)])) for _ in range(800)]
+    if kind is float:
+        rows.append((float("nan"), 5))
+    points = [None, *[kind(x) for x in (-5, 0, 1, 7, 7, 7, 59, 60, 61, *range(20, 40))]]
+    name = "bigint" if kind is int else "double"
+    df = spark.createDataFrame(rows, f"v {name}, w bigint").repartition(3)
+    grid = spark.createDataFrame([(i, t) for i, t in enumerate(points)], f"id int, t {name}")
+    got = {r["id"]: r for r in threshold_sweep(df, "v", grid, "t", METRICS, keep, limit).collect()}
+    assert set(got) == set(range(len(points)))
+    for i, t in enumerate(points):
+        kept = [w for v, w in rows if None not in (v, t, w) and v == v and TESTS[keep](v, t)]
+        want = (len(kept), sum(kept), min(kept, default=None), max(kept, default=None), sum(kept) / len(kept) if kept else None)
+        assert tuple(got[i][m] for m in METRICS) == want
+    assert threshold_sweep(df, "v", grid.where("false"), "t", METRICS, keep, limit).count() == 0
+    none = threshold_sweep(df.where("false"), "v", grid, "t", METRICS, keep, limit).collect()
+    assert {tuple(r)[2:] for r in none} == {(0, 0, None, None, None)}
+
+
+def test_threshold_sweep_refuses(spark):
+    df = spark.range(3).withColumn("t", F.col("id"))
+    for bad in (dict(keep="=="), dict(metrics={"n": ("median", "id")}), dict(metrics={"id": ("sum", "id")})):
+        with pytest.raises(ValueError):
+            threshold_sweep(**{"df": df, "col": "id", "grid": df, "threshold": "t", "metrics": {"n": ("sum", "id")}} | bad)
+
+
+def test_sweep_over_a_table(spark):
+    df = spark.range(1, 11).select(F.col("id").cast("double").alias("v"))
+    grid = spark.createDataFrame([(1.0, "a"), (5.5, "b"), (5.5, "b"), (9.0, "c")], "c double, name string")
+    metric = lambda p: F.sum(F.abs(F.col("v") - p["c"]))
+    out = param_sweep(df, grid, metric)
+    assert out.columns == ["c", "name", "metric"] and out.count() == 3
+    assert param_sweep(df, grid, metric, "min").first()["name"] == "b"
+    assert param_sweep(df, grid.where("false"), metric).count() == 0
