@@ -41,10 +41,10 @@ def rule_column(
     if not chosen:
         return df.withColumn(name, _outcome(DEFAULT_TEXT if default is None else default))
     outcomes = [_outcome(o) for _, o in chosen]
-    types = [f.dataType for f in df.select(*[o.alias(f"c{i}") for i, o in enumerate(outcomes)]).schema.fields]
-    if default is None and all(isinstance(t, T.StringType) for t in types):
+    texts = _are_texts(df, outcomes if default is None else [*outcomes, _outcome(default)])
+    if default is None and all(texts):
         default = DEFAULT_TEXT
-    *outcomes, default = _one_kind(df, [*outcomes, _outcome(default)])
+    *outcomes, default = _one_kind([*outcomes, _outcome(default)], any(texts))
     tested, tests = with_tests(df, [c for c, _ in chosen])
     chain = F.when(tests[0], outcomes[0])
     for test, outcome in zip(tests[1:], outcomes[1:]):
@@ -52,27 +52,31 @@ def rule_column(
     return _named(df, tested, {name: chain.otherwise(default)})
 
 
-def _one_kind(df: DataFrame, outcomes: list[Column]) -> list[Column]:
-    """The outcomes, all as text if one of them is text."""
+def _are_texts(df: DataFrame, outcomes: Sequence[Column]) -> list[bool]:
     fields = df.select(*[o.alias(f"c{i}") for i, o in enumerate(outcomes)]).schema.fields
-    if any(isinstance(f.dataType, T.StringType) for f in fields):
-        return [o.cast("string") for o in outcomes]
-    return outcomes
+    return [isinstance(f.dataType, T.StringType) for f in fields]
+
+
+def _one_kind(outcomes: Sequence[Column], texts: bool) -> list[Column]:
+    """The outcomes, all as text if one of them is text."""
+    return [o.cast("string") for o in outcomes] if texts else list(outcomes)
 
 
 def _named(df: DataFrame, tested: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """``df`` with the columns, which may read the tests."""
-    out = tested.withColumns(dict(columns))
-    return out.select(*[quoted(c) for c in [*df.columns, *[n for n in columns if n not in df.columns]]])
+    names = [*df.columns, *[n for n in columns if n not in df.columns]]
+    return tested.select(*[columns[n].alias(n) if n in columns else quoted(n) for n in names])
 
 
 def if_else_columns(df: DataFrame, cond: str | Column, outputs: Mapping[str, tuple]) -> DataFrame:
     """Several columns by one condition: ``{name: (then, else)}``, a ``None`` branch is 0, or "0"
     beside a text."""
+    pairs = {name: [F.lit(0) if b is None else _outcome(b) for b in pair] for name, pair in outputs.items()}
+    texts = _are_texts(df, [o for pair in pairs.values() for o in pair])
     tested, (test,) = with_tests(df, [cond])
     columns = {}
-    for name, pair in outputs.items():
-        then, other = _one_kind(df, [F.lit(0) if b is None else _outcome(b) for b in pair])
+    for i, (name, pair) in enumerate(pairs.items()):
+        then, other = _one_kind(pair, any(texts[2 * i : 2 * i + 2]))
         columns[name] = F.when(test, then).otherwise(other)
     return _named(df, tested, columns)
 

@@ -86,22 +86,21 @@ def order_columns(df: DataFrame, cols, ascending=True) -> list[Column]:
 
 
 def with_tests(df: DataFrame, conditions: Sequence[str | Column]) -> tuple[DataFrame, list[Column]]:
-    """``df`` with a boolean column for each condition, and these columns.
+    """A table with the columns of ``df`` and more, and for each condition a column to read on it.
 
     Conditions are Spark SQL text or columns and see NaN as missing: the float columns they
     name are NULL instead of NaN for them alone.  An unknown condition is false.  Drop the
-    columns with ``select(*df.columns)``.
+    other columns with ``select(*df.columns)``.
     """
     written = " ".join(c if isinstance(c, str) else str(c) for c in conditions).lower()
+    tests = [F.coalesce(F.expr(c) if isinstance(c, str) else c, F.lit(False)) for c in conditions]
     floats = [f.name for f in df.schema.fields if is_float(f.dataType) and f.name.lower() in written]
-    tests = {
-        f"__test{i}": F.coalesce(F.expr(c) if isinstance(c, str) else c, F.lit(False)) for i, c in enumerate(conditions)
-    }
-    if floats:
-        kept = {c: f"__kept{i}" for i, c in enumerate(floats)}
-        seen = without_nan(df.withColumns({k: quoted(c) for c, k in kept.items()}), floats).withColumns(tests)
-        back = [quoted(kept[c]).alias(c) if c in kept else quoted(c) for c in df.columns]
-        tested = seen.select(*back, *tests)
-    else:
-        tested = df.withColumns(tests)
-    return tested, [F.col(name) for name in tests]
+    if not floats:
+        return df, tests
+    # The conditions are put to a copy of the row without NaN; the columns themselves move along untouched.
+    kept = {c: f"__kept{i}" for i, c in enumerate(floats)}
+    both = [value(df, c).alias(c) if c in kept else quoted(c) for c in df.columns]
+    seen = df.select(*both, *[quoted(c).alias(k) for c, k in kept.items()])
+    back = [quoted(kept[c]).alias(c) if c in kept else quoted(c) for c in df.columns]
+    names = [f"__test{i}" for i in range(len(tests))]
+    return seen.select(*back, *[t.alias(n) for t, n in zip(tests, names)]), [F.col(n) for n in names]

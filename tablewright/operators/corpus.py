@@ -147,6 +147,9 @@ SPECIAL_TEMPLATES = (
 # Words of a factory name, besides the fragments of a type, that make it a database node.
 DATABASE_WORDS = ("Connector", "Database")
 
+# Noncharacters, which mark places of a text while it is worked on.
+MARK, END_MARK = "\ufdd0", "\ufdd1"
+
 # Entry keys that say something about a connection.
 CONNECTION_KEYS = (
     "driver", "database", "database_name", "db_type", "db_dialect",
@@ -197,18 +200,30 @@ def _character(code: Column) -> Column:
     )
 
 
+def _decoded_pieces(text: Column) -> Column:
+    """The text cut at its escapes, each piece decoded for itself."""
+    pieces = F.split(text, r"%%(?=[0-9]{5})")
+    rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    decoded = lambda piece: F.concat(_character(F.substring(piece, 1, 5)), F.substring(piece, 6, 2**31 - 1))
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, decoded), ""))
+
+
 def decode_escapes(col: str | Column) -> Column:
     """Replace ``%%ddddd`` by the character of that decimal code.
 
     Codes of surrogate halves are no characters of a text and stay as they are.
-    The text is cut at the escapes; each piece starts with its code.
+    The escapes are marked in one pass by a noncharacter; then each code that occurs is replaced wherever it
+    is marked, so what was decoded is not read again.  A text that holds the mark is decoded piece by piece.
     """
     text = _col(col)
-    pieces = F.split(text, r"%%(?=[0-9]{5})")
-    rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    decoded = lambda piece: F.concat(_character(F.substring(piece, 1, 5)), F.substring(piece, 6, 2**31 - 1))
-    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, decoded), ""))
-    return F.when(text.contains("%%"), whole).otherwise(text)
+    marked = F.regexp_replace(text, r"%%([0-9]{5})", MARK + "$1")
+    # Codes, not escapes, are walked through: few per text.
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"%%([0-9]{5})"), 1))
+    replaced = F.aggregate(
+        codes, marked, lambda done, code: F.replace(done, F.concat(F.lit(MARK), code), _character(code))
+    )
+    unsafe = text.contains(MARK) | text.contains(f"%%{ord(MARK):05d}")
+    return F.when(~text.contains("%%"), text).when(unsafe, _decoded_pieces(text)).otherwise(replaced)
 
 
 def encode_escapes(col: str | Column, chars: str = " ") -> Column:
@@ -536,22 +551,43 @@ def fallback_groups(
     return groups.withColumn("cell", cell).orderBy(F.desc("count"), "factory")
 
 
-def split_clauses(col: str | Column) -> Column:
-    """SQL text with a line break before each clause keyword, keywords in upper case.
+# A JOIN is broken off first, which leaves no two-word join.
+_ONE_PASS = [w for w in CLAUSES if not w.endswith(" JOIN")]
+_CLAUSE = "(?i:" + "|".join(sorted(_ONE_PASS, key=len, reverse=True)) + ")"
 
-    A keyword the text does not hold costs a plain search, no pattern match.
-    """
-    text = _col(col)
-    words = F.array(*[F.lit(w) for w in CLAUSES])
-    held = _bind(F.upper(text), lambda upper: F.filter(words, lambda word: upper.contains(word)))
-    broken = F.aggregate(
-        held,
+
+def _clauses_in_turn(text: Column) -> Column:
+    """The rule as it is written: one replacement after the other."""
+    words = F.array(*[F.lit(w) for w in _ONE_PASS])
+    return F.aggregate(
+        words,
         text,
         lambda done, word: F.regexp_replace(
             done, F.concat(F.lit(r"(?i)\s+"), word, F.lit(r"\s+")), F.concat(F.lit("\n"), word, F.lit(" "))
         ),
     )
-    return strip(broken)
+
+
+def split_clauses(col: str | Column) -> Column:
+    """SQL text with a line break before each clause keyword, keywords in upper case.
+
+    One alternation marks all keywords.  Only where two keywords follow each other, which share the blanks
+    between them, does the order of the keywords matter: such a text takes one pass per keyword.
+    """
+    text = _col(col)
+    marked = F.regexp_replace(text, rf"\s+({_CLAUSE})\s+", f"{MARK}$1{END_MARK}")
+
+    def whole(marked: Column) -> Column:
+        pieces = F.transform(
+            F.split(marked, f"[{MARK}{END_MARK}]"),
+            lambda piece, i: F.when(i % 2 == 1, F.concat(F.lit("\n"), F.upper(piece), F.lit(" "))).otherwise(piece),
+        )
+        in_turn = text.rlike(f"[{MARK}{END_MARK}]") | marked.rlike(rf"{END_MARK}{_CLAUSE}[\s{MARK}]")
+        return (
+            F.when(~marked.contains(MARK), text).when(in_turn, _clauses_in_turn(text)).otherwise(F.array_join(pieces, ""))
+        )
+
+    return strip(_bind(marked, whole))
 
 
 def distinct_warnings(df: DataFrame, message: str, order_by: Sequence[str] | str | None = None) -> DataFrame:

@@ -211,30 +211,26 @@ def report_rows(
     """The cells of a report line, padded: ``name``, ``status``, ``start``, ``end``, ``reason``.
 
     The name column is as wide as the longest name, at least 20.  ``keep`` names
-    columns that stay in front.  The reason is cut to ``reason_width`` if that is given, else
-    its column is as wide as the longest reason, at least :data:`REASON_WIDTH`.
+    columns that stay in front.  The reason, being the last cell, is cut to ``reason_width`` if that is
+    given, else whole: one longer than :data:`REASON_WIDTH` runs past the frame and widens no other row.
     """
-    widest = runs.agg(F.max(F.length(quoted(name)))).scalar()
-    cause, wide = reason_cell(runs, reason, reason_width)
-    width = F.greatest(F.lit(NAME_WIDTH), F.coalesce(widest, F.lit(0)))
+    width = name_width(runs, name).scalar()
     text = lambda c: quoted(c).cast("string")
+    cause = text(reason) if reason_width is None else truncate_text(quoted(reason), reason_width)
     return runs.select(
         *[quoted(c) for c in keep],
         padded(text(name), width).alias("name"),
         padded(status_label(quoted(status)), STATUS_WIDTH).alias("status"),
         padded(br_datetime(text(start)), DATE_WIDTH).alias("start"),
         padded(br_datetime(text(end)), DATE_WIDTH).alias("end"),
-        padded(cause, wide).alias("reason"),
+        padded(cause, REASON_WIDTH if reason_width is None else reason_width).alias("reason"),
     )
 
 
-def reason_cell(runs: DataFrame, reason: str, width: int | None) -> tuple[Column, Column]:
-    """Text and width of the last column of a report."""
-    if width is not None:
-        return truncate_text(quoted(reason), width), F.lit(width)
-    text = quoted(reason).cast("string")
-    longest = runs.agg(F.max(F.length(text))).scalar()
-    return text, F.greatest(F.lit(REASON_WIDTH), F.coalesce(longest, F.lit(0)))
+def name_width(runs: DataFrame, name: str) -> DataFrame:
+    """One row: the width of the name column of a report."""
+    longest = F.max(F.length(quoted(name).cast("string")))
+    return runs.agg(F.greatest(F.lit(NAME_WIDTH), F.coalesce(longest, F.lit(0))).alias("width"))
 
 
 def durations(

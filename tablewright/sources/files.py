@@ -7,13 +7,14 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..missing import quoted
+from ..operators.params import with_params
 from ..operators.runs import (
     BAD_JSON,
     DATE_WIDTH,
-    NAME_WIDTH,
+    REASON_WIDTH,
     STATUS_WIDTH,
+    name_width,
     padded,
-    reason_cell,
     report_rows,
     run_summary,
 )
@@ -91,37 +92,46 @@ def report_lines(
     status: str = "status",
     reason_width: int | None = None,
     title: str = REPORT_TITLE,
+    wrap: bool = False,
     **columns: str,
 ) -> DataFrame:
     """The run report as rows ``(section, key, place, line)``; sorted by the first three they are its text.
 
     Section 0 is the head, 1 holds one line per run in the order of ``key``, which is the
     column ``order_by``, 2 the summary; the other two are ordered by ``place``.  ``columns`` name
-    the other columns as in :func:`report_rows`.
+    the other columns as in :func:`report_rows`.  A reason longer than its column runs past the frame; with
+    ``wrap`` it goes on in further lines of the run, numbered by ``place``, and nothing leaves the frame.
     """
-    cells = report_rows(runs, status=status, keep=[order_by], reason_width=reason_width, **columns)
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", "name", "status", "start", "end", "reason"), F.lit(" |"))
     key_type = runs.schema[order_by].dataType
-    body = cells.select(
-        F.lit(1).alias("section"), quoted(order_by).alias("key"), F.lit(0).cast("bigint").alias("place"), line.alias("line")
-    )
+    cells = report_rows(runs, status=status, keep=[order_by], reason_width=reason_width, **columns)
+    fixed = F.concat_ws(" | ", "name", "status", "start", "end")
+    room = REASON_WIDTH if reason_width is None else reason_width
+    if wrap:
+        # Lines of the reason; those after the first have empty cells before it.
+        pieces = F.regexp_extract_all("reason", F.lit(f"(?s).{{1,{room}}}"), 0)
+        blank = F.concat_ws(" | ", *[F.repeat(F.lit(" "), F.length(c)) for c in ("name", "status", "start", "end")])
+        cells = cells.select(
+            quoted(order_by), fixed.alias("fixed"), blank.alias("blank"), F.posexplode(pieces).alias("place", "piece")
+        )
+        cells = cells.select(
+            quoted(order_by),
+            F.when(F.col("place") == 0, F.col("fixed")).otherwise(F.col("blank")).alias("fixed"),
+            F.col("place").cast("bigint").alias("place"),
+            padded(F.regexp_replace("piece", r"\R", " "), room).alias("reason"),
+        )
+    else:
+        cells = cells.select(quoted(order_by), fixed.alias("fixed"), F.lit(0).cast("bigint").alias("place"), "reason")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "fixed", "reason"), F.lit(" |"))
+    body = cells.select(F.lit(1).alias("section"), quoted(order_by).alias("key"), "place", line.alias("line"))
 
-    sums = run_summary(runs, status, duration=None)
-    widest = runs.agg(F.max(F.length(quoted(columns.get("name", "orchestrator"))))).scalar()
-    frame = sums.withColumn("width", F.greatest(F.lit(NAME_WIDTH), F.coalesce(widest, F.lit(0))))
-    widths = [F.col("width"), *[F.lit(w) for w in (STATUS_WIDTH, DATE_WIDTH, DATE_WIDTH)], reason_cell(runs, columns.get("reason", "err_msg"), reason_width)[1]]
+    frame = with_params(run_summary(runs, status, duration=None), name_width(runs, columns.get("name", "orchestrator")))
+    widths = [F.col("width"), *[F.lit(w) for w in (STATUS_WIDTH, DATE_WIDTH, DATE_WIDTH, room)]]
     rule = F.concat(F.lit("+"), F.concat_ws("+", *[F.repeat(F.lit("-"), w + 2) for w in widths]), F.lit("+"))
     edge = F.repeat(F.lit("="), F.length(rule))
     heads = F.concat_ws(" | ", *[padded(F.lit(h), w) for h, w in zip(REPORT_HEADS, widths)])
     count = lambda label, name: F.concat(F.lit(label), F.col(name).cast("string"))
 
-    def section(number: int, lines: list) -> DataFrame:
-        texts = F.array(*[t if isinstance(t, Column) else F.lit(t) for t in lines])
-        return frame.select(F.lit(number).alias("section"), F.posexplode(texts).alias("place", "line")).select(
-            "section", F.lit(None).cast(key_type).alias("key"), F.col("place").cast("bigint").alias("place"), "line"
-        )
-
-    head = section(0, [
+    head = [
         edge,
         title,
         REPORT_DATE + at.strftime("%d/%m/%Y %H:%M:%S"),
@@ -131,8 +141,8 @@ def report_lines(
         rule,
         F.concat(F.lit("| "), heads, F.lit(" |")),
         rule,
-    ])
-    summary = section(2, [
+    ]
+    summary = [
         rule,
         "",
         REPORT_SUMMARY,
@@ -142,8 +152,18 @@ def report_lines(
         F.concat(count(REPORT_RATE, "success_pct"), F.lit("%")),
         "",
         edge,
-    ])
-    return head.unionByName(body).unionByName(summary)
+    ]
+    rest = [
+        F.struct(
+            F.lit(number).alias("section"),
+            F.lit(None).cast(key_type).alias("key"),
+            F.lit(place).cast("bigint").alias("place"),
+            (text if isinstance(text, Column) else F.lit(text)).alias("line"),
+        )
+        for number, lines in ((0, head), (2, summary))
+        for place, text in enumerate(lines)
+    ]
+    return body.unionByName(frame.select(F.inline(F.array(*rest))))
 
 
 def write_report(lines: DataFrame, path: str, fmt: str = "text") -> None:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -70,6 +71,18 @@ def test_decode(spark, text):
     assert df.select(W.decode_escapes("t")).first()[0] == python_decode(text)
 
 
+def test_decode_random(spark):
+    rng = random.Random(2)
+    parts = ["%%", "%", "00037", "00032", "0003", "%%00037", "%%00065", "%%55296", "%%64976", "\ufdd0", "a", "é", " ", "%%00000", "%%99999"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", W.decode_escapes("t").alias("d"))
+
+    def want(text):
+        return re.sub(r"%%(\d{5})", lambda m: m[0] if 0xD800 <= int(m[1]) < 0xE000 else chr(int(m[1])), text)
+
+    assert [(r["t"], r["d"]) for r in df.collect() if r["d"] != want(r["t"])] == []
+
+
 def test_encode_decode(spark):
     text = "é a%b\nc  d&"
     df = spark.createDataFrame([(text,), (None,)], "t string")
@@ -162,6 +175,18 @@ def test_clauses(spark, sql):
     assert df.select(W.split_clauses("t")).first()[0] == python_split(sql)
 
 
+def test_clauses_random(spark):
+    """One alternation against one pass per keyword, with keywords side by side and parts of them."""
+    rng = random.Random(6)
+    words = [*W.CLAUSES, *[w.lower() for w in W.CLAUSES], "Or", "a", "t.x = 1", "LEFT", "GROUP", "BY", "land", "x" + W.MARK, W.END_MARK, ""]
+    texts = []
+    for _ in range(4000):
+        chosen = [rng.choice(words) if rng.random() < 0.6 else "b" for _ in range(rng.randint(0, 9))]
+        texts.append("".join(w + rng.choice([" ", " ", "  ", "\n", "\t ", ""]) for w in chosen))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", W.split_clauses("t").alias("s"))
+    assert [(r["t"], r["s"]) for r in df.collect() if r["s"] != python_split(r["t"])] == []
+
+
 def test_connection_info(spark):
     rows = [
         ("a", "org.x.MySQLDBConnectorNodeFactory" + entry("databaseUrl", "jdbc:mysql://h:3306/db") + entry("user", "u")),

@@ -135,6 +135,24 @@ def test_report(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
 
 
+def test_one_long_reason_widens_no_other_line(spark):
+    long = "linha um\n" + "y" * 1_000_000
+    df = report_runs(spark).withColumn("err_msg", F.when(F.col("i") == 2, F.lit(long)).otherwise(F.col("err_msg")))
+    at = dt.datetime(2026, 2, 9, 7, 0)
+    width = 29 + 15 + 19 + 19 + 50 + 5 * 3 + 1
+    lines = [r["line"] for r in report_lines(df, "i", 1.0, at).orderBy("section", "key", "place").collect()]
+    assert [n for n, line in enumerate(lines) if len(line) > width] == [10]
+    assert len(lines[10]) == width - 50 + len(long) and lines[10].endswith("y |")
+
+    wrapped = [r["line"] for r in report_lines(df, "i", 1.0, at, wrap=True).orderBy("section", "key", "place").collect()]
+    assert {len(line) for line in wrapped if line.startswith("|")} == {width}
+    assert wrapped[:10] == lines[:10] and wrapped[-11:] == lines[-11:]
+    own = wrapped[10:-11]
+    cells = [line.rsplit(" | ", 1) for line in own[: -(-len(long) // 50)]]
+    assert "".join(reason[:50] for _, reason in cells).rstrip() == long.replace("\n", " ")
+    assert {rest.replace("|", "").strip() for rest, _ in cells[1:]} == {""}
+
+
 def test_durations(spark):
     df = spark.createDataFrame(
         [(dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 1, 0, 0, 2, 500000), OK), (dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 2), "timeout")],
