@@ -70,6 +70,16 @@ from .operators.rows import (
 from .operators.sweeps import threshold_sweep
 from .session import configure, intermediate_tables, materialize, shared_dir
 from .sources.batches import append_batch, read_batches, remove_unpublished
-from .sources.files import read_log_lines, read_run_results, report_lines, scan_docs, write_report
+from .sources.files import (
+    file_table,
+    pack_files,
+    parse_run_results,
+    read_log_lines,
+    read_packed,
+    read_run_results,
+    report_lines,
+    scan_docs,
+    write_report,
+)
 from .sources.sql import NamedQueries, named_queries, read_sql
 from .sources.tables import jdbc_options, read_jdbc, read_table, write_table

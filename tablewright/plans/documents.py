@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as W
 from ..session import new_path
-from ..sources.files import scan_docs
+from ..sources.files import pack_files, read_packed, scan_docs
 from .registry import query
 
 ATTRIBUTE = r'(href|class|id|lang|charset)="([^"]*)"'
@@ -116,19 +116,34 @@ SETTINGS_SQL = (
 )
 
 
-@query(
-    "scan_docs",
-    "SELECT 'nation=' || c_nationkey AS folder, '<config n=\"' || count(*) || '\" top=\"' || max(c_custkey) || '\"/>' AS content"
-    " FROM customer GROUP BY c_nationkey",
+def customer_files(t) -> str:
+    """Folder of one settings file of two lines per customer, in a folder for each nation."""
+    text = F.format_string('<config n="%d"\n name="%s"/>', "c_custkey", "c_name")
+    path = new_path(t.spark, "documents")
+    rows = t.customer.select(F.col("c_nationkey").alias("nation"), text.alias("value"))
+    rows.write.partitionBy("nation").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+CUSTOMER_FILES = (
+    "SELECT 'nation=' || c_nationkey AS folder, '<config n=\"' || c_custkey || '\"' || chr(10) || ' name=\"' || c_name || '\"/>' || chr(10) AS content FROM customer"
 )
+
+
+@query("scan_docs", CUSTOMER_FILES)
 def _(t):
-    """A document per nation, written to its folder; all are read with their paths."""
-    counts = t.customer.groupBy(F.col("c_nationkey").alias("nation")).agg(
-        F.format_string('<config n="%d" top="%d"/>', F.count("*"), F.max("c_custkey")).alias("value")
-    )
-    path = new_path(t.spark, "documents")
-    counts.write.partitionBy("nation").text(path)
-    docs = scan_docs(t.spark, path, "*.txt")
+    """A document per customer, read with its path."""
+    docs = scan_docs(t.spark, customer_files(t), "*.txt")
+    return docs.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "content")
+
+
+@query("pack_files", CUSTOMER_FILES)
+def _(t):
+    """The same documents, packed once; the second batch finds nothing new."""
+    root, packed = customer_files(t), new_path(t.spark, "packed")
+    for batch in ("first", "second"):
+        pack_files(t.spark, root, packed, batch, "*.txt")
+    docs = read_packed(t.spark, packed)
     return docs.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "content")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..missing import quoted
 from ..operators.params import with_params
@@ -19,6 +21,9 @@ from ..operators.runs import (
     run_summary,
 )
 
+from ..session import materialize
+from .batches import append_batch, published, read_batches
+
 # Shape of one run-result document.
 SCRIPT_RESULT = (
     "nome_script string, status string, inicio string, fim string, duracao_segundos double, "
@@ -49,26 +54,92 @@ def read_run_results(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("path"), "*", status.alias("status"))
 
 
+def parse_run_results(docs: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
+    """:func:`read_run_results` of documents that were read already, with their paths."""
+    kept = T.StructType.fromDDL(f"{RUN_RESULT}, corrupt string")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+    parsed = docs.select(quoted(path).alias("path"), F.from_json(quoted(content), kept, options).alias("result"))
+    status = F.when(F.col("corrupt").isNotNull(), BAD_JSON).otherwise(F.col("status_geral"))
+    return parsed.select("path", "result.*").select("*", status.alias("status"))
+
+
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def _text(content: Column) -> Column:
+    """Bytes as text; those that are none are left out."""
+    return F.when(F.is_valid_utf8(content), content).otherwise(
+        F.replace(F.make_valid_utf8(content), F.lit("\ufffd"), F.lit(""))
+    )
+
+
+def _plain_path(path: Column) -> Column:
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def scan_docs(spark: SparkSession, root: str, pattern: str = "settings.xml") -> DataFrame:
     """(``path``, ``content``) of all files of that name below ``root``.
 
-    Bytes that are no text are left out.
+    Bytes that are no text are left out.  For very many small files see :func:`pack_files`.
     """
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(root)
-    )
-    clean = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
-        F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
-    )
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return files.select(path.alias("path"), clean.alias("content"))
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    return files.select(_plain_path(F.col("_metadata.file_path")).alias("path"), _text(F.col("value")).alias("content"))
+
+
+def file_table(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(``path``, ``bytes``, ``modified``) of all files of that name below ``root``; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def pack_files(
+    spark: SparkSession,
+    root: str,
+    target: str,
+    batch: str,
+    pattern: str = "settings.xml",
+    task_bytes: int = 128 << 20,
+    open_bytes: int = 32 << 10,
+) -> bool:
+    """Add the files below ``root`` that the packed table at ``target`` lacks, as one batch.
+
+    Each file is opened once, by tasks of about ``task_bytes``, an opening counting as much as
+    ``open_bytes``; a task writes one part of the table.  Later jobs read the table, whose parts follow
+    the bytes and not the number of files.  A file counts as new if its path or its time of modification is.
+    False if the batch is there already.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    new = files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content")
+    if published(spark, target):
+        # What is there is compared as (path, time), never with the contents.
+        there = read_batches(spark, target).select("path", "modified")
+        fresh = file_table(spark, root, pattern).join(there, ["path", "modified"], "left_anti").select("path", "modified")
+        new = new.join(materialize(fresh, "files"), ["path", "modified"], "left_semi").select(new.columns)
+    sizes = {"spark.sql.files.maxPartitionBytes": task_bytes, "spark.sql.files.openCostInBytes": open_bytes}
+    with _settings(spark, sizes):
+        return append_batch(new, target, batch)
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: Mapping[str, object]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def read_packed(spark: SparkSession, target: str) -> DataFrame:
+    """(``path``, ``content``) of the packed files, of each path the last version, as :func:`scan_docs` gives them."""
+    rows = read_batches(spark, target)
+    last = rows.groupBy("path").agg(F.max("modified").alias("modified"))
+    newest = rows.join(last, ["path", "modified"], "left_semi")
+    content = _text(F.col("content").cast("string"))
+    return newest.select(_plain_path(F.col("path")).alias("path"), content.alias("content"))
 
 
 # Texts of the run report.

@@ -1,9 +1,10 @@
+import os
 import random
 import re
 
 import pytest
 
-from tablewright import corpus as W, scan_docs
+from tablewright import corpus as W, file_table, pack_files, read_packed, scan_docs
 
 HEAD = '<entry key="factory" type="xstring" value="org.sample.base.db.DBReaderNodeFactory"/>'
 
@@ -16,7 +17,7 @@ DOCS = {
     "Reader (#1)": HEAD + entry("statement", "SELECT a,%%00010 b FROM t WHERE a &lt; 3 &amp;&amp; b &gt; &quot;%%08364&quot;"),
     "Query (#12)": HEAD + entry("statement", "") + entry("query", "WITH q AS (TABLE t) TABLE q"),
     "Text (#3)": HEAD + entry("a", "select 1") + entry("b", "SELECT 22"),
-    "Plain": "<config>com.other.FilterNodeFactory$1</config>",
+    "Plain": "<config>\n  com.other.FilterNodeFactory$1\r\n</config>\n",
     "Google (#4)": "<config>org.other.GoogleApiConnectorFactory</config>",
     "By content": "<config>DatabaseConnectorNodeFactory</config>",
     "No node": "<config>nothing</config>",
@@ -40,6 +41,31 @@ def test_scan(docs):
     assert got == {f"{k}/settings.xml": v for k, v in DOCS.items()}
 
 
+def test_packed_files(spark, docs, tmp_path):
+    """The packed table gives the same documents; later batches hold new and changed files only."""
+    packed = str(tmp_path / "packed")
+    files = {r["path"]: r["bytes"] for r in file_table(spark, str(tmp_path / "flow"), "settings.xml").collect()}
+    assert len(files) == len(DOCS) + 1 and all(n > 0 for n in files.values())
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    assert pack_files(spark, str(tmp_path / "flow"), packed, "1")
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert not pack_files(spark, str(tmp_path / "flow"), packed, "1")
+    want = lambda: sorted((r["path"].split("/flow/")[1], r["content"]) for r in docs.collect())
+    got = lambda: sorted((r["path"].split("/flow/")[1], r["content"]) for r in read_packed(spark, packed).collect())
+    assert got() == want()
+    assert len(list((tmp_path / "packed" / "batches").glob("*/part-*"))) < len(files)
+    (tmp_path / "flow" / "Late (#5)").mkdir()
+    (tmp_path / "flow" / "Late (#5)" / "settings.xml").write_text("late")
+    changed = tmp_path / "flow" / "Plain" / "settings.xml"
+    changed.write_text("changed")
+    os.utime(changed, (2_000_000_000, 2_000_000_000))
+    spark.catalog.clearCache()
+    assert pack_files(spark, str(tmp_path / "flow"), packed, "2")
+    docs = scan_docs(spark, str(tmp_path / "flow"))
+    assert got() == sorted((r["path"].split("/flow/")[1], r["content"]) for r in docs.collect())
+    assert spark.read.parquet(f"{packed}/batches/*").count() == len(files) + 2
+
+
 def test_inventory(docs):
     got = {r["name"]: (r["factory"], r["sql"]) for r in W.node_inventory(docs).collect()}
     assert got == {

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright import read_log_lines, read_run_results, report_lines, runs as R, write_report
+from tablewright import parse_run_results, read_log_lines, read_run_results, report_lines, runs as R, scan_docs, write_report
 
 OK, BAD = "sucesso", "falha"
 
@@ -40,6 +40,14 @@ def results(spark, tmp_path):
     return read_run_results(spark, str(tmp_path))
 
 
+def test_parse_like_read(spark, results, tmp_path):
+    parsed = parse_run_results(scan_docs(spark, str(tmp_path), "*.json"))
+    assert parsed.columns == results.columns
+    name = lambda path: path.rsplit("/", 1)[1]
+    plain = lambda df: sorted((name(r["path"]), r["status"], str(r["resultados_scripts"]), r["corrupt"] is None) for r in df.collect())
+    assert plain(parsed) == plain(results)
+
+
 def test_read_and_flatten(results):
     states = {r["path"].rsplit("/", 1)[1]: r["status"] for r in results.collect()}
     assert states == {
