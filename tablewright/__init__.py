@@ -25,6 +25,7 @@ from .functions.dates import (
     to_date_text,
     to_timestamp,
 )
+from .functions.rules import read_rules, rule_text_column
 from .functions.text import replace_text, split_cell
 from .operators import corpus, runs
 from .operators.aggregates import aggregate_columns, group_by, list_pieces

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import strip
 from ..missing import as_list, check_columns, quoted
-from .rows import drop_duplicate_rows, top_n
+from .rows import counter, drop_duplicate_rows, top_n
 
 # Patterns of settings documents.
 ENTRY = r'<entry\s+key="([^"]*)"\s+[^>]*value="([^"]*)"'
@@ -515,6 +515,36 @@ def node_methods(
     ).withColumns({"kind": of_special(1), "translation": of_special(2)})
 
 
+def node_list(
+    nodes: DataFrame,
+    order_by: Sequence[str] | str,
+    name_width: int = 30,
+    name: str = "name",
+    factory: str = "factory",
+    template: str = "template",
+    matched: str = "matched",
+) -> DataFrame:
+    """(``number``, ``name``, ``factory``, ``method``, ``line``) of all nodes: first those with a translation, then
+    the others, each in the given order, numbered from 1.
+
+    Names are cut to ``name_width``; ``line`` is the row of the list report.  ``order_by`` must identify
+    the nodes.
+    """
+    order, names = as_list(order_by), (name, factory, template)
+    cells = nodes.select(
+        (~F.coalesce(quoted(matched), F.lit(False))).alias("__late"),
+        *[quoted(c).alias(f"__o{i}") for i, c in enumerate(order)],
+        *[quoted(c).alias(n) for c, n in zip(names, ("name", "factory", "template"))],
+        quoted(matched).alias("matched"),
+    )
+    kept = ["__late", *[f"__o{i}" for i in range(len(order))], "name", "factory"]
+    listed = node_methods(cells, kept).select(*kept, "method")
+    numbered = counter(listed, kept[:-2], "number", unique=True).withColumn("name", F.substring("name", 1, name_width))
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, ("number", "name", "factory", "method"))), F.lit(" |"))
+    return numbered.select("number", "name", "factory", "method", line.alias("line"))
+
+
 def method_distribution(nodes: DataFrame, template: str = "template", matched: str = "matched") -> DataFrame:
     """(``position``, ``method``, ``count``, ``pct``) of the methods that occur, in report order."""
     label = method_label(quoted(template), quoted(matched)).alias("method")

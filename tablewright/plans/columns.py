@@ -17,6 +17,7 @@ from ..functions.conditions import (
     system_columns,
 )
 from ..operators.joins import join_tables
+from ..functions.rules import rule_text_column
 from .registry import query
 
 
@@ -36,6 +37,27 @@ def _(t):
     return rule_column(t.orders, "band", rules).select("o_orderkey", "band")
 
 
+RULE_TEXT = """
+// the first rule that holds decides
+$o_totalprice$ > 400000 AND $o_orderstatus$ = "F" => "top"
+$o_orderpriority$ IN ("1-URGENT", "2-HIGH") OR NOT $o_totalprice$ > 1500 => $o_orderpriority$
+
+MISSING $o_orderstatus$ => "no state"
+TRUE => "rest => other"
+"""
+
+
+@query(
+    "rule_text",
+    "SELECT o_orderkey, CASE WHEN o_totalprice > 400000 AND s = 'F' THEN 'top' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH')"
+    " OR NOT o_totalprice > 1500 THEN o_orderpriority WHEN s IS NULL THEN 'no state' ELSE 'rest => other' END AS band"
+    " FROM (SELECT *, nullif(o_orderstatus, 'P') AS s FROM orders)",
+)
+def _(t):
+    df = t.orders.withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'P')"))
+    return rule_text_column(df, "band", RULE_TEXT).select("o_orderkey", "band")
+
+
 @query(
     "rule_in_missing",
     "SELECT o_orderkey, CASE WHEN nullif(o_orderstatus, 'P') IS NULL THEN 0"

@@ -292,8 +292,7 @@ def _(t):
     return W.fallback_groups(event_nodes(t), "event_id", sample_chars=25)
 
 
-@query(
-    "node_methods",
+NODE_METHODS = (
     "SELECT event_id, name, factory, CASE WHEN event_type = 'error' THEN 'Fallback' ELSE [template, 'Determinístico (' || template || ')',"
     " 'LLM (' || template || ')', 'Injeção Direta', 'Template', template, 'Template'][kind + 1] END AS method, special,"
     " CASE special WHEN 'StringManip_Deterministic' THEN 'StringManipulation' WHEN 'Java_LLM' THEN 'Java Snippet (LLM)'"
@@ -304,12 +303,28 @@ def _(t):
     " CASE WHEN kind IN (0, 5) THEN 'Dedicado (' || label || ')' ELSE label END AS template,"
     " CASE WHEN event_type <> 'error' AND kind IN (1, 2, 3) THEN label END AS special FROM (SELECT *, user_id % 7 AS kind,"
     " ['Joiner_Wired', 'StringManip_Deterministic', 'Java_LLM', 'PythonScript_Injected', 'template', 'GroupBy_Extracted', '']"
-    "[user_id % 7 + 1] AS label FROM events))",
+    "[user_id % 7 + 1] AS label FROM events))"
+)
+
+
+@query(
+    "node_methods",
+    NODE_METHODS,
 )
 def _(t):
     return W.node_methods(event_nodes(t), ["event_id", "name", "factory"])
 
 
+@query(
+    "node_list",
+    "SELECT number, name, factory, method, '| ' || number || ' | ' || name || ' | ' || factory || ' | ' || method || ' |' AS line FROM"
+    " (SELECT row_number() OVER (ORDER BY method = 'Fallback', event_id) AS number, substr(name, 1, 12) AS name, factory, method"
+    f" FROM ({NODE_METHODS}))",
+)
+def _(t):
+    return W.node_list(event_nodes(t), "event_id", name_width=12)
+
+
 @query("distinct_factories", "SELECT DISTINCT event_type || user_id % 3 AS factory FROM events")
 def _(t):
     return W.distinct_factories(event_nodes(t))

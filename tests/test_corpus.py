@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright import corpus as W, file_table, pack_files, read_packed, scan_docs
 
@@ -251,6 +252,19 @@ def test_connection_entries(spark):
     assert (got["d"]["user"], got["d"]["project"]) == ("u", "p")
 
 
+def test_node_list(spark):
+    rows = [("a name that is long", "Java_LLM", True), ("b", "x", False), ("c", "Joiner_Wired", True), (None, "", True)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, name string, template string, matched boolean")
+    df = df.withColumn("factory", F.concat(F.lit("f"), "i")).repartition(3)
+    got = [tuple(r) for r in W.node_list(df, "i", name_width=6).orderBy("number").collect()]
+    assert got == [
+        (1, "a name", "f0", "LLM (Java_LLM)", "| 1 | a name | f0 | LLM (Java_LLM) |"),
+        (2, "c", "f2", "Dedicado (Joiner_Wired)", "| 2 | c | f2 | Dedicado (Joiner_Wired) |"),
+        (3, None, "f3", "Template", "| 3 |  | f3 | Template |"),
+        (4, "b", "f1", "Fallback", "| 4 | b | f1 | Fallback |"),
+    ]
+
+
 def test_node_methods(spark):
     rows = [("a", "Java_LLM", True), ("b", "Joiner_Wired", True), ("c", "", True), ("d", None, True), ("e", "Java_LLM", False)]
     df = spark.createDataFrame(rows, "name string, template string, matched boolean")

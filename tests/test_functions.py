@@ -15,9 +15,11 @@ from tablewright import (
     math_if,
     number_to_string,
     power,
+    read_rules,
     replace_text,
     round_columns,
     rule_column,
+    rule_text_column,
     set_time_of_day,
     shift_date,
     split_cell,
@@ -160,3 +162,22 @@ def test_readable_dates(spark):
     df = texts(spark, "2026-02-09T06:00:01.123456", "2026-02-09", "2026", "soon", None)
     want = ["09/02/2026 06:00:01", "09/02/2026 00:00:00", "2026", "soon", None]
     assert values(format_datetime(df, "t"), "t") == want
+
+
+def test_rule_text(spark):
+    rows = [(1, "it's", 2.0), (2, "a => b", float("nan")), (3, None, 5.0), (4, "\\", None)]
+    df = spark.createDataFrame(rows, "`my id` int, t string, x double")
+    text = """
+        // $t$ = "x" => "comment"
+        $t$ = "it's" => "quote"
+        no rule here
+        $t$ = "\\" => "back\\slash"
+        NOT MISSING $x$ AND $my id$ > 2 => $my id$
+        MISSING $x$ => "gone"
+    """
+    got = rule_text_column(df, "r", text)
+    assert got.columns == ["my id", "t", "x", "r"]
+    assert [r["r"] for r in got.orderBy("my id").collect()] == ["quote", "gone", "3", "back\\slash"]
+    assert [r["r"] for r in rule_text_column(df, "r", "$x$ >= 5 => 1\nFALSE => 0").orderBy("my id").collect()] == [0, 0, 1, 0]
+    assert {r["r"] for r in rule_text_column(df, "r", "// nothing").collect()} == {"Unknown"}
+    assert [c for c, _ in read_rules('$a$ IN ("$b$", "MISSING $c$") => 1')] == ["`a` IN ('$b$', 'MISSING $c$')"]
