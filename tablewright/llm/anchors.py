@@ -122,14 +122,13 @@ class _Cell:
         return pack(
             cell,
             self.gram_bucket,
-            self.buckets,
             lambda at: (short[at].tobytes(), np.packbits(self.is_block[at]).tobytes()),
         )
 
     def candidates(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the windows that hold a hit, each once in order of its first document, and
         the place of that first window."""
-        hit = unpack_answer(answers, "probe", self.gram_bucket, self.buckets)[self._gram_of]
+        hit = unpack_answer(answers, "probe", self.gram_bucket)[self._gram_of]
         at_word = np.zeros(len(self.words) + 1, np.int64)
         at_word[self.probes.starts + 1] = hit
         upto = np.cumsum(at_word)
@@ -149,13 +148,13 @@ class _Cell:
             own, counts = np.unique(docs[at], return_counts=True)  # entries are in order of their documents
             return hashes[at].tobytes(), own.astype("<i8").tobytes() + counts.astype("<i8").tobytes()
 
-        return pack(cell, (hashes % np.uint64(self.buckets)).astype(np.int64), self.buckets, columns)
+        return pack(cell, (hashes % np.uint64(self.buckets)).astype(np.int64), columns)
 
     def removed_words(self, answers: pa.Table) -> np.ndarray:
         """Whether each word is covered by a window that starts in an earlier document."""
         hashes, _ = self.candidates(answers)
         bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
-        elsewhere = np.sort(hashes[unpack_answer(answers, "window", bucket, self.buckets)])
+        elsewhere = np.sort(hashes[unpack_answer(answers, "window", bucket)])
         unique, first, back = np.unique(self.wide.hashes, return_index=True, return_inverse=True)
         ids = self.ids[self.wide.docs]
         gone = ids > ids[first][back] if len(ids) else np.empty(0, bool)  # documents are in order of their ids

@@ -32,15 +32,15 @@ def sizes(docs: DataFrame, text: Column, bucket_share: int = 1) -> tuple[int, in
     return max(1, -(-total // CELL_BYTES)), max(1, -(-total * bucket_share // BUCKET_BYTES))
 
 
-def in_cells(docs: DataFrame, id_column: Column, text_column: Column, cells: int, by_id: bool = False) -> DataFrame:
+def in_cells(docs: DataFrame, id_column: Column, text_column: Column, cells: int) -> DataFrame:
     """``cell, id, known, text``: ids that are never null, with a mark for those that were not.
 
-    Rows are dealt by id and text, or with ``by_id`` so that all rows of an id meet in a cell.
+    Rows are dealt by id and text: no id, null or repeated, makes one cell large.
     """
     text = F.coalesce(text_column.cast("string"), F.lit(""))
     key = F.coalesce(id_column.cast("bigint"), F.lit(int(NO_ID)))
     return docs.select(
-        F.pmod(F.xxhash64(key) if by_id else F.xxhash64(key, text), F.lit(cells)).cast("int").alias("cell"),
+        F.pmod(F.xxhash64(key, text), F.lit(cells)).cast("int").alias("cell"),
         key.alias("id"),
         id_column.isNotNull().alias("known"),
         text.alias("text"),
@@ -56,12 +56,18 @@ def sorted_documents(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarr
     return ids[order], [texts[i] for i in order], known[order]
 
 
-def pack(cell: int, bucket_of: np.ndarray, buckets: int, columns: Callable[[np.ndarray], tuple[bytes, bytes]]) -> pa.Table:
+def by_bucket(bucket_of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets that occur, each with the places of its entries in order: a cell's work follows its
+    entries, however many buckets there are."""
+    order = np.argsort(bucket_of, kind="stable")
+    starts = np.flatnonzero(np.diff(bucket_of[order], prepend=-1))
+    yield from zip(bucket_of[order[starts]].tolist(), np.split(order, starts[1:]) if len(starts) else [])
+
+
+def pack(cell: int, bucket_of: np.ndarray, columns: Callable[[np.ndarray], tuple[bytes, bytes]]) -> pa.Table:
     """One row per bucket that has entries; ``columns`` packs the entries at the given places,
     which keep their order."""
-    order = np.argsort(bucket_of, kind="stable")
-    ends = np.searchsorted(bucket_of[order], np.arange(buckets + 1))
-    rows = [(b, *columns(order[ends[b] : ends[b + 1]])) for b in range(buckets) if ends[b] < ends[b + 1]]
+    rows = [(b, *columns(places)) for b, places in by_bucket(bucket_of)]
     return pa.table(
         {
             "cell": pa.array([cell] * len(rows), pa.int32()),
@@ -72,14 +78,13 @@ def pack(cell: int, bucket_of: np.ndarray, buckets: int, columns: Callable[[np.n
     )
 
 
-def unpack_answer(answers: pa.Table, kind: str, bucket_of: np.ndarray, buckets: int) -> np.ndarray:
+def unpack_answer(answers: pa.Table, kind: str, bucket_of: np.ndarray) -> np.ndarray:
     """The bit of each entry, from the answers of all buckets to one cell."""
     out = np.zeros(len(bucket_of), bool)
-    order = np.argsort(bucket_of, kind="stable")
-    ends = np.searchsorted(bucket_of[order], np.arange(buckets + 1))
+    entries = dict(by_bucket(bucket_of))
     for bucket, named, bits in zip(*(answers[c].to_pylist() for c in ("bucket", "kind", "bits"))):
         if named == kind:
-            places = order[ends[bucket] : ends[bucket + 1]]
+            places = entries[bucket]
             out[places] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(places)).astype(bool)
     return out
 

@@ -21,8 +21,10 @@ What a third of all documents share is one entry per cell.  Texts are shuffled o
 of a few mebibytes; long texts are cut into pieces that overlap by a window, which cuts
 segments but loses no window.
 
-Defined results: a null text is empty.  Rows with one id follow each other in order of their texts,
-and the earlier counts; null ids come last, as one id.  Matches never cross rows.  An empty
+Rows are dealt to cells by id and text, so the rows of one id, or of none, spread like any others.
+
+Defined results: a null text is empty.  Rows with one id follow each other in order of a 64-bit hash of their
+texts, and the earlier counts; null ids come last, as one id.  Matches never cross rows.  An empty
 table gives an empty result.  Other columns are not read.
 """
 
@@ -32,12 +34,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from ..missing import quoted
-from .anchors import _among, _meet_windows
+from .anchors import _among
 from .common import corpus_table
-from .exchange import ANSWER, PACKED, answer_rows, in_cells, mix64, pack, sizes, sorted_documents, unpack_answer
+from .exchange import ANSWER, PACKED, answer_rows, by_bucket, in_cells, mix64, pack, sizes, sorted_documents, unpack_answer
 
 LENGTH = 100
 ANCHOR = 32
@@ -87,7 +90,11 @@ class _Cell:
 
     def __init__(self, table: pa.Table, length: int, buckets: int):
         self.length, self.buckets, self.k = length, buckets, min(ANCHOR, length)
-        self.ids, self.texts, self.known = sorted_documents(table)
+        ids, texts, known = sorted_documents(table)
+        ties = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
+        order = np.lexsort((ties, ids))
+        self.ids, self.ties, self.known = ids[order], ties[order], known[order]
+        self.texts = [texts[i] for i in order]
         parts = [[np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)] * 2]
         for doc, text in enumerate(self.texts):
             raw = np.frombuffer(text, np.uint8)
@@ -116,22 +123,22 @@ class _Cell:
         return first, last, mix64(grams[at]), whole
 
     def _runs(self, docs: np.ndarray) -> bytes:
-        """Ids of documents that are in order, with how often each comes."""
-        own, counts = np.unique(self.ids[docs], return_counts=True)
-        return own.astype("<i8").tobytes() + counts.astype("<i8").tobytes()
+        """Ids and ties of documents that are in order, with how often each comes."""
+        own, counts = np.unique(docs, return_counts=True)
+        return self.ids[own].astype("<i8").tobytes() + self.ties[own].astype("<u8").tobytes() + counts.astype("<i8").tobytes()
 
     def pack_segments(self, cell: int) -> pa.Table:
         short, whole = (self.anchor[self.own] >> np.uint64(32)).astype("<u4"), self.whole[self.own]
         doc = self.doc[self.own]
         return pack(
-            cell, self.bucket, self.buckets, lambda at: (short[at].tobytes() + whole[at].tobytes(), self._runs(doc[at]))
+            cell, self.bucket, lambda at: (short[at].tobytes() + whole[at].tobytes(), self._runs(doc[at]))
         )
 
     def read(self, answers: pa.Table):
         """Of the distinct segments: which have an earlier equal elsewhere; places of those that
         are compared by bytes, and of those that are compared by windows."""
         later, mixed, crowded = (
-            unpack_answer(answers, kind, self.bucket, self.buckets) for kind in ("later", "mixed", "crowded")
+            unpack_answer(answers, kind, self.bucket) for kind in ("later", "mixed", "crowded")
         )
         return later, self.own[~later & mixed & ~crowded], self.own[~later & crowded]
 
@@ -166,8 +173,8 @@ class _Cell:
         hashes, docs, wide = self._window_entries(crowd)
         return pa.concat_tables(
             [
-                pack(cell, bucket, self.buckets, texts),
-                pack(cell, wide, 2 * self.buckets, lambda at: (hashes[at].tobytes(), self._runs(docs[at]))),
+                pack(cell, bucket, texts),
+                pack(cell, wide, lambda at: (hashes[at].tobytes(), self._runs(docs[at]))),
             ]
         )
 
@@ -186,7 +193,7 @@ class _Cell:
             self._cover(cover, self.doc[s], self.first[s] + np.flatnonzero(flags))
         hashes, docs, starts = self.windows(crowd)
         own, _, wide = self._window_entries(crowd)
-        elsewhere = np.sort(own[unpack_answer(answers, "window", wide, 2 * self.buckets)])
+        elsewhere = np.sort(own[unpack_answer(answers, "window", wide)])
         _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         gone = _among(hashes, elsewhere) | (np.arange(len(hashes)) != first[back])
         for doc in np.unique(docs[gone]):
@@ -199,40 +206,53 @@ class _Cell:
 
     def _text_bits(self, answers: pa.Table, segments: np.ndarray, bucket: np.ndarray) -> list[np.ndarray]:
         sizes_of = self.last[segments] - self.first[segments] + 1
-        out = [np.zeros(n, bool) for n in sizes_of]
+        out, entries = [np.zeros(n, bool) for n in sizes_of], dict(by_bucket(bucket))
         for b, kind, bits in zip(*(answers[c].to_pylist() for c in ("bucket", "kind", "bits"))):
             if kind == "text":
-                places = np.flatnonzero(bucket == b)
+                places = entries[b]
                 flags = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(sizes_of[places].sum())).astype(bool)
                 for i, part in zip(places, np.split(flags, np.cumsum(sizes_of[places])[:-1])):
                     out[i] = part
         return out
 
 
-def _documents(runs: bytes) -> np.ndarray:
-    own, counts = np.frombuffer(runs, "<i8").reshape(2, -1)
-    return np.repeat(own, counts)
+def _documents(runs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and ties of the entries of a row."""
+    ids, ties, counts = np.frombuffer(runs, "<i8").reshape(3, -1)
+    return np.repeat(ids, counts), np.repeat(ties.view("<u8"), counts)
+
+
+def _after_first(keys: list[np.ndarray], ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Whether each entry's document comes after the first document of the entries with equal keys."""
+    order = np.lexsort((ties, ids, *reversed(keys)))
+    new = np.zeros(len(ids), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    after = np.empty(len(ids), bool)
+    after[order] = (ids[order] > ids[first]) | ((ids[order] == ids[first]) & (ties[order] > ties[first]))
+    return after
 
 
 def _meet_segments(bucket: int, table: pa.Table) -> pa.Table:
     """Three bits per segment: an earlier equal elsewhere; others of the anchor; too many of them."""
     cells = table["cell"].to_pylist()
     short, whole, docs = [], [], [_documents(x) for x in table["extra"].to_pylist()]
-    for x, d in zip(table["entries"].to_pylist(), docs):
+    for x, (d, _) in zip(table["entries"].to_pylist(), docs):
         short.append(np.frombuffer(x, "<u4", len(d)))
         whole.append(np.frombuffer(x, "<u8", len(d), 4 * len(d)))
-    ends = np.cumsum([len(d) for d in docs])[:-1]
-    anchor, content, ids = np.concatenate(short), np.concatenate(whole), np.concatenate(docs)
-    order = np.lexsort((ids, content, anchor))
+    ends = np.cumsum([len(d) for d, _ in docs])[:-1]
+    anchor, content = np.concatenate(short), np.concatenate(whole)
+    ids, ties = (np.concatenate(x) for x in zip(*docs))
+    later = _after_first([anchor, content], ids, ties)
+    order = np.lexsort((content, anchor))
     a, c = anchor[order], content[order]
     new_anchor = np.concatenate(([True], a[1:] != a[:-1]))
     new = new_anchor | np.concatenate(([True], c[1:] != c[:-1]))
-    at = np.cumsum(new) - 1
-    least = ids[order][np.flatnonzero(new)][at]
     number = np.cumsum(new_anchor) - 1
-    different = np.bincount(number, new).astype(np.int64)[number]
-    later, many = np.empty(len(ids), bool), np.empty(len(ids), np.int64)
-    later[order], many[order] = ids[order] > least, different
+    many = np.empty(len(ids), np.int64)
+    many[order] = np.bincount(number, new).astype(np.int64)[number]
     return pa.concat_tables(
         [
             answer_rows(cells, bucket, kind, np.split(bits, ends))
@@ -241,6 +261,15 @@ def _meet_segments(bucket: int, table: pa.Table) -> pa.Table:
     )
 
 
+def _meet_windows(bucket: int, table: pa.Table) -> pa.Table:
+    """One bit per window: whether a document of another cell that has it is earlier."""
+    cells = table["cell"].to_pylist()
+    hashes = [np.frombuffer(x, "<u8") for x in table["entries"].to_pylist()]
+    ids, ties = (np.concatenate(x) for x in zip(*map(_documents, table["extra"].to_pylist())))
+    later = _after_first([np.concatenate(hashes)], ids, ties)
+    return answer_rows(cells, bucket, "window", np.split(later, np.cumsum([len(h) for h in hashes])[:-1]))
+
+
 END = np.iinfo(np.uint16).max
 
 
@@ -351,7 +380,8 @@ def _meet_texts(bucket: int, table: pa.Table, length: int) -> pa.Table:
         cut += [text[e - m : e] for e, m in zip(np.cumsum(lengths).tolist(), lengths.tolist())]
         docs.append(_documents(numbers[n + 1 :].tobytes()))
         owner += [i] * n
-    order = np.argsort(np.concatenate(docs), kind="stable")  # segments of one document come from one cell, in order
+    ids, ties = (np.concatenate(x) for x in zip(*docs))
+    order = np.lexsort((ties, ids))  # stable: segments of one document come from one cell, in order
     parts, firsts, at = [], np.empty(len(cut), np.int64), 0
     for j in order:
         parts += [np.frombuffer(cut[j], np.uint8).astype(np.uint16) + np.uint16(1), np.zeros(1, np.uint16)]
@@ -398,7 +428,7 @@ def remove_repeated_bytes(
     """``id_col`` and the chosen ``outputs`` per document: bytes, removed bytes, the maximal removed
     runs as byte places (end exclusive) and their number, and the bytes that are left."""
     cells, buckets = sizes(docs, quoted(text_col), bucket_share=3)  # an index takes 60 bytes a byte
-    grouped = in_cells(docs, quoted(id_col), quoted(text_col), cells, by_id=True).groupBy("cell")
+    grouped = in_cells(docs, quoted(id_col), quoted(text_col), cells).groupBy("cell")
 
     def segments(key, table):
         return _Cell(table, length, buckets).pack_segments(key[0].as_py())

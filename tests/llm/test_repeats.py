@@ -5,14 +5,15 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 
 from tablewright.llm import exchange, repeats
 
 
 def expected(rows, length=100):
-    """Rows in order of id (null last) and text; the first place of each window stays."""
-    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    """Rows in order of id (null last) and hash of the text; the first place of each window stays."""
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode())))
     seen, out = set(), []
     for i, t in ordered:
         raw = (t or "").encode()
@@ -61,13 +62,26 @@ def test_made_rows(spark, monkeypatch, crowd, piece):
         assert run(spark, rows, length=40) == expected(rows, 40)
 
 
+def test_a_third_without_id(spark, monkeypatch):
+    """Rows without an id, and rows of one id, are dealt to many cells and still have one order."""
+    monkeypatch.setattr(exchange, "CELL_BYTES", 4000)
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 12_000)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t) for i, (_, t) in enumerate(made_rows(120))]
+    assert local_cells(rows, 100) == expected(rows)
+    assert run(spark, rows) == expected(rows)
+    df = spark.createDataFrame([(None, "x" * 3000 + str(i)) for i in range(200)], "doc_id long, text string")
+    cells, _ = exchange.sizes(df, df["text"])
+    dealt = exchange.in_cells(df, df["doc_id"], df["text"], cells).groupBy("cell").count().collect()
+    assert cells > 100 and max(r["count"] for r in dealt) < 20
+
+
 def local_cells(rows, length, cells=5, buckets=3):
     """The steps of the operator without Spark, so that constants can be changed."""
     import pyarrow as pa
 
     dealt = [[] for _ in range(cells)]
     for i, t in rows:
-        dealt[(i or 0) % cells].append((repeats.np.iinfo(np.int64).max if i is None else i, i is not None, t or ""))
+        dealt[xxhash.xxh64_intdigest(f"{i} {t}") % cells].append((repeats.np.iinfo(np.int64).max if i is None else i, i is not None, t or ""))
     tables = [pa.table({"id": [r[0] for r in d], "known": [r[1] for r in d], "text": [r[2] for r in d]}) for d in dealt]
     made = [repeats._Cell(t, length, buckets) for t in tables]
 
