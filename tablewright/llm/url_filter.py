@@ -89,8 +89,8 @@ def judge_captures(
     ``n_lists`` lists hold an active match;
     ``list_name`` and ``pattern`` are those that decide, null without a match.
 
-    Three numbers are read from the data first: how many labels and segments the patterns
-    have, and the last month with captures.
+    Four numbers are read from the data first: how many labels and segments the patterns
+    have, and the first and the last month with captures.
     """
     spans = list_intervals(entries)
     asked = captures.select(
@@ -100,10 +100,10 @@ def judge_captures(
     size = entries.agg(
         F.max(F.size(F.split(prefix[0], r"\."))).alias("labels"), F.max(F.size(prefix) - 1).alias("depth")
     ).first()
-    last = asked.agg(F.max(_period(F.col("time")))).first()[0]
+    begin, last = asked.agg(F.min(_period(F.col("time"))), F.max(_period(F.col("time")))).first()
 
     placed = asked.withColumn("host", url_host(F.coalesce("url", F.lit(""))))
-    found = spans.withColumn("first", _period(F.col("since"))).withColumn(
+    found = spans.withColumn("first", F.greatest(_period(F.col("since")), F.lit(begin))).withColumn(
         "final", F.least(F.coalesce(_period(F.col("until")), F.lit(last)), F.lit(last))
     )
     monthly = found.where("first <= final").select(

@@ -48,3 +48,12 @@ def test_decisions(spark):
     none = u.judge_captures(captures, entries(spark).where("false"))
     assert none.count() == 13 and none.where("blocked").count() == 0
     assert u.judge_captures(captures.where("false"), entries(spark)).count() == 0
+
+
+def test_old_entries_cost_what_the_captures_span(spark):
+    """An entry dated centuries back meets the same captures as one dated on the first of them."""
+    captures = spark.createDataFrame([(i, "http://x.org/", at(100 + i)) for i in range(3)], "page_id long, url string, fetched_at timestamp")
+    for since in (dt.datetime(1, 1, 2), at(100)):
+        old = spark.createDataFrame([("bad", "x.org", "add", since), ("bad", "x.org", "remove", at(102))], "list_name string, pattern string, action string, at timestamp")
+        judged = u.judge_captures(captures, old)
+        assert {r.page_id for r in judged.where("blocked").collect()} == {0, 1}
