@@ -114,10 +114,10 @@ def near_components(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
     links at distance 3 or less, named by their smallest id."""
     prints = materialize(prints, "fingerprints")
     distinct = prints.groupBy("fingerprint").agg(F.min(quoted(id_col)).alias("least"))
-    # Each row is about to become hundreds, so the few bytes of this table go to all tasks.
+    distinct = materialize(distinct, "distinct")
+    # Each row is about to become hundreds: the small files, which few tasks read, go to all tasks.
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = materialize(distinct.repartition(tasks, "fingerprint"), "distinct")
-    roots = component_roots(ball_links(distinct))
+    roots = component_roots(ball_links(distinct.repartition(tasks, "fingerprint")))
     # Fingerprints without a neighbour are their own component.
     rooted = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
