@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..missing import as_list, check_columns, numeric_columns, order_columns, quoted, without_nan
 from .ranking import BEFORE, unique_positions, weights_before
 
+COPIES = 16  # copies that one row stands for while rows are ordered
+
 
 def sort_rows(
     df: DataFrame, cols: Sequence[str] | str, ascending: bool | Sequence[bool] = True, copies: bool = False
@@ -65,8 +67,8 @@ def counter(
 ) -> DataFrame:
     """Number the rows ``start``, ``start`` + 1, … in the given order.
 
-    Copies of one row are counted before they are ordered, so any number of them
-    stays spread out.  Say ``unique=True`` where ``order_by`` identifies the rows: the
+    Copies of one row are counted before they are ordered and ordered as rows of COPIES copies, so any
+    number of them stays spread out.  Say ``unique=True`` where ``order_by`` identifies the rows: the
     copies step is then left out, and the numbers cost one shuffle.
     """
     order_by = as_list(order_by)
@@ -81,16 +83,13 @@ def counter(
     flags = [ascending] * len(order_by) if isinstance(ascending, bool) else list(ascending)
     ties = [c for c in df.columns if c not in order_by]
     copies = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("__copies"))
-    placed = weights_before(copies, [], [*order_by, *ties], "__copies", flags + [True] * len(ties))
-    # Unfold the copies in two steps; a long run is cut into blocks that move to other tasks.
-    block = 100_000
-    blocks = F.explode(F.expr(f"sequence(0L, __copies - 1, {block}L)"))
-    single = placed.where("__copies = 1").withColumn("__copy", F.lit(0).cast("bigint"))
-    several = placed.where("__copies > 1").withColumn("__block", blocks)
-    several = several.repartition(BEFORE, "__block").withColumn(
-        "__copy", F.explode(F.expr(f"sequence(__block, least(__block + {block - 1}L, __copies - 1))"))
-    ).drop("__block")
-    return single.unionByName(several).select(*keep, number(F.col(BEFORE) + F.col("__copy")))
+    # A row that stands for many copies is ordered as many rows of COPIES each, so ranges of rows are about even.
+    several = copies.withColumn("__from", F.explode(F.expr(f"sequence(0L, __copies - 1, {COPIES}L)")))
+    several = several.withColumn("__n", F.least(F.col("__copies") - F.col("__from"), F.lit(COPIES))).drop("__copies")
+    order = [*order_by, *ties, "__from"]
+    placed = weights_before(several, [], order, "__n", flags + [True] * (len(ties) + 1))
+    unfolded = placed.withColumn("__copy", F.explode(F.expr("sequence(0L, __n - 1)")))
+    return unfolded.select(*keep, number(F.col(BEFORE) + F.col("__copy")))
 
 
 def add_empty_rows(df: DataFrame, n: int = 1) -> DataFrame:

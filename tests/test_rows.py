@@ -114,3 +114,17 @@ def test_concat(spark):
     assert concat_tables(a) is a
     mixed = concat_tables(a, spark.createDataFrame([("k",)], "id string"))
     assert {r["id"] for r in mixed.collect()} == {"1", "k"}
+
+
+def test_copies_are_unfolded_once(spark):
+    """Copies come next to each other; the plan places the rows once and unfolds them in one branch."""
+    df = spark.createDataFrame([(1, "a")] * 1000 + [(2, "b")] * 16 + [(2, "c")] * 17 + [(3, None)], "k int, t string").repartition(7)
+    got = counter(df, "k", ascending=False)
+    numbers = {}
+    for r in got.collect():
+        numbers.setdefault((r["k"], r["t"]), []).append(r["counter"])
+    assert {key: (min(n), max(n), len(set(n))) for key, n in numbers.items()} == {
+        (3, None): (1, 1, 1), (2, "b"): (2, 17, 16), (2, "c"): (18, 34, 17), (1, "a"): (35, 1034, 1000),
+    }
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Union" not in plan
