@@ -117,22 +117,25 @@ SETTINGS_SQL = (
 
 
 def customer_files(t) -> str:
-    """Folder of one settings file of two lines per customer, in a folder for each nation."""
-    text = F.format_string('<config n="%d"\n name="%s"/>', "c_custkey", "c_name")
+    """Folder of settings files of two lines, one for each 20 customers, dealt to 25 folders."""
+    blocks = t.customer.groupBy(F.expr("c_custkey div 20").alias("block")).agg(
+        F.format_string('<config n="%d"\n top="%s"/>', F.count("*"), F.max("c_name")).alias("value")
+    )
     path = new_path(t.spark, "documents")
-    rows = t.customer.select(F.col("c_nationkey").alias("nation"), text.alias("value"))
-    rows.write.partitionBy("nation").option("maxRecordsPerFile", 1).text(path)
+    rows = blocks.select(F.expr("block % 25").alias("part"), "value")
+    rows.write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
 CUSTOMER_FILES = (
-    "SELECT 'nation=' || c_nationkey AS folder, '<config n=\"' || c_custkey || '\"' || chr(10) || ' name=\"' || c_name || '\"/>' || chr(10) AS content FROM customer"
+    "SELECT 'part=' || block % 25 AS folder, '<config n=\"' || count(*) || '\"' || chr(10) || ' top=\"' || max(c_name) || '\"/>' || chr(10)"
+    " AS content FROM (SELECT *, c_custkey // 20 AS block FROM customer) GROUP BY block"
 )
 
 
 @query("scan_docs", CUSTOMER_FILES)
 def _(t):
-    """A document per customer, read with its path."""
+    """As many documents as the table grows by, read with their paths."""
     docs = scan_docs(t.spark, customer_files(t), "*.txt")
     return docs.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "content")
 

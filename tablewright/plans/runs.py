@@ -193,29 +193,26 @@ def _(t):
 
 @query(
     "read_run_results",
-    "SELECT c_nationkey AS nation, CASE WHEN bad THEN 'erro_json' ELSE 'sucesso_total' END AS status,"
-    " CASE WHEN NOT bad THEN c_name END AS name, CASE WHEN NOT bad THEN unnest([c_mktsegment, 'last']) ELSE NULL END AS script,"
-    " CASE WHEN NOT bad THEN unnest([c_custkey, 1]) END AS attempts FROM (SELECT *, c_custkey % 50 = 7 AS bad FROM customer) WHERE NOT bad"
-    " UNION ALL SELECT c_nationkey, 'erro_json', NULL, NULL, NULL FROM customer WHERE c_custkey % 50 = 7",
+    "SELECT block % 25 AS part, 'sucesso_total' AS status, CAST(block AS VARCHAR) AS name, c_name AS script, c_custkey AS attempts"
+    " FROM (SELECT *, c_custkey // 20 AS block FROM customer) WHERE block % 50 <> 7"
+    " UNION ALL SELECT block % 25, 'erro_json', NULL, NULL, NULL FROM (SELECT DISTINCT c_custkey // 20 AS block FROM customer) WHERE block % 50 = 7",
 )
 def _(t):
-    """A result document per customer with two scripts, a fiftieth of them broken off."""
-    script = lambda name, attempts: F.struct(name.alias("nome_script"), attempts.cast("bigint").alias("tentativas"))
+    """A result document for each 20 customers, who are its scripts; a fiftieth of the documents is broken off."""
+    script = F.struct(F.col("c_name").alias("nome_script"), F.col("c_custkey").alias("tentativas"))
+    blocks = t.customer.groupBy(F.expr("c_custkey div 20").alias("block")).agg(F.array_sort(F.collect_list(script)).alias("resultados_scripts"))
     document = F.to_json(
-        F.struct(
-            F.col("c_name").alias("nome_orquestrador"),
-            F.lit("sucesso_total").alias("status_geral"),
-            F.array(script(F.col("c_mktsegment"), F.col("c_custkey")), script(F.lit("last"), F.lit(1))).alias("resultados_scripts"),
-        )
+        F.struct(F.col("block").cast("string").alias("nome_orquestrador"), F.lit("sucesso_total").alias("status_geral"), "resultados_scripts")
     )
-    text = F.when(F.col("c_custkey") % 50 == 7, F.substring(document, 1, 40)).otherwise(document)
+    text = F.when(F.col("block") % 50 == 7, F.substring(document, 1, 40)).otherwise(document)
     path = new_path(t.spark, "results")
-    rows = t.customer.select(F.col("c_nationkey").alias("nation"), text.alias("value"))
-    rows.write.partitionBy("nation").option("maxRecordsPerFile", 1).text(path)
-    read = read_run_results(t.spark, path).select("nation", "status", "nome_orquestrador", F.explode_outer("resultados_scripts").alias("r"))
+    rows = blocks.select(F.expr("block % 25").alias("part"), text.alias("value"))
+    rows.write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
+    read = read_run_results(t.spark, path).select(
+        F.col("part").cast("bigint").alias("part"), "status", "nome_orquestrador", F.explode_outer("resultados_scripts").alias("r")
+    )
     return read.select(
-        "nation", "status", F.col("nome_orquestrador").alias("name"), F.col("r.nome_script").alias("script"),
-        F.col("r.tentativas").alias("attempts"),
+        "part", "status", F.col("nome_orquestrador").alias("name"), F.col("r.nome_script").alias("script"), F.col("r.tentativas").alias("attempts")
     )
 
 
