@@ -117,8 +117,8 @@ SETTINGS_SQL = (
 
 
 def customer_files(t) -> str:
-    """Folder of settings files of two lines, one for each 20 customers, dealt to 25 folders."""
-    blocks = t.customer.groupBy(F.expr("c_custkey div 20").alias("block")).agg(
+    """Folder of settings files of two lines, one for each 50 customers, dealt to 25 folders."""
+    blocks = t.customer.groupBy(F.expr("c_custkey div 50").alias("block")).agg(
         F.format_string('<config n="%d"\n top="%s"/>', F.count("*"), F.max("c_name")).alias("value")
     )
     path = new_path(t.spark, "documents")
@@ -129,7 +129,7 @@ def customer_files(t) -> str:
 
 CUSTOMER_FILES = (
     "SELECT 'part=' || block % 25 AS folder, '<config n=\"' || count(*) || '\"' || chr(10) || ' top=\"' || max(c_name) || '\"/>' || chr(10)"
-    " AS content FROM (SELECT *, c_custkey // 20 AS block FROM customer) GROUP BY block"
+    " AS content FROM (SELECT *, c_custkey // 50 AS block FROM customer) GROUP BY block"
 )
 
 

@@ -194,13 +194,13 @@ def _(t):
 @query(
     "read_run_results",
     "SELECT block % 25 AS part, 'sucesso_total' AS status, CAST(block AS VARCHAR) AS name, c_name AS script, c_custkey AS attempts"
-    " FROM (SELECT *, c_custkey // 20 AS block FROM customer) WHERE block % 50 <> 7"
-    " UNION ALL SELECT block % 25, 'erro_json', NULL, NULL, NULL FROM (SELECT DISTINCT c_custkey // 20 AS block FROM customer) WHERE block % 50 = 7",
+    " FROM (SELECT *, c_custkey // 50 AS block FROM customer) WHERE block % 50 <> 7"
+    " UNION ALL SELECT block % 25, 'erro_json', NULL, NULL, NULL FROM (SELECT DISTINCT c_custkey // 50 AS block FROM customer) WHERE block % 50 = 7",
 )
 def _(t):
-    """A result document for each 20 customers, who are its scripts; a fiftieth of the documents is broken off."""
+    """A result document for each 50 customers, who are its scripts; a fiftieth of the documents is broken off."""
     script = F.struct(F.col("c_name").alias("nome_script"), F.col("c_custkey").alias("tentativas"))
-    blocks = t.customer.groupBy(F.expr("c_custkey div 20").alias("block")).agg(F.array_sort(F.collect_list(script)).alias("resultados_scripts"))
+    blocks = t.customer.groupBy(F.expr("c_custkey div 50").alias("block")).agg(F.array_sort(F.collect_list(script)).alias("resultados_scripts"))
     document = F.to_json(
         F.struct(F.col("block").cast("string").alias("nome_orquestrador"), F.lit("sucesso_total").alias("status_geral"), "resultados_scripts")
     )
