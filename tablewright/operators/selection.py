@@ -1,8 +1,9 @@
 """Exact medians by narrowing brackets.
 
-A group of many values is never sorted.  A summary of bounded size (quantiles with a guaranteed rank
-error) gives two values between which the middle ranks lie; one pass counts what lies below, inside and on
-these bounds; and so on inside the bracket until it holds a few values.  What is left is counted per value and ranked in
+A group of many values is never sorted.  A histogram of BINS equal steps shows between which values the middle
+ranks lie.  Where such a bracket still holds many values, as the values are unevenly spread, a summary
+of bounded size (quantiles with a guaranteed rank error) narrows it: one pass counts what lies below, inside and on
+two of its values; and so on until the bracket holds a few values.  What is left is counted per value and ranked in
 the group.  Only summaries and counters are shuffled, after they were combined in each task, so a hot
 group is as cheap as any other.  Groups that are small from the start go to the last step at once.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..missing import quoted, same_keys
 from ..session import materialize
 
+BINS = 1024  # steps of the histogram
 FEW = 10_000  # values of a group that are ranked without a bracket
 ACCURACY = 2000  # the rank error of a summary is a share of 1 / ACCURACY
 GRID = [i / 64 for i in range(65)]  # quantiles asked for inside a bracket
@@ -37,6 +39,30 @@ def _with_bracket(values: DataFrame, keys: Sequence[str], brackets: DataFrame) -
     return values.join(renamed, same_keys(list(zip(keys, names))) & inside).drop(*names)
 
 
+def _histogram(values: DataFrame, keys: Sequence[str], brackets: DataFrame) -> DataFrame:
+    """The brackets after a histogram between the smallest and the largest value of each group."""
+    state = ["__low", "__high"]
+    inside = _with_bracket(values, keys, brackets.select(*_named(keys), *state, "__lo", "__hi"))
+    value, lo, hi = F.col("__value"), F.col("__lo"), F.col("__hi")
+    step = F.floor((value - lo) / (hi - lo) * BINS)
+    endless = (hi - lo) == float("inf")  # the ends apart from what is between them
+    even = F.when(value == lo, 0).when(value == hi, BINS - 1).otherwise(BINS // 2)
+    place = F.when(hi == lo, 0).when(endless, even).otherwise(F.least(step, F.lit(BINS - 1)))
+    bins = inside.groupBy(*_named(keys), *state, place.cast("int").alias("__bin")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__value").alias("__lo"), F.max("__value").alias("__hi")
+    )
+    order = Window.partitionBy(*_named(keys)).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows
+    placed = bins.withColumn("__upto", F.sum("__n").over(order))
+    holds = lambda rank: (F.col("__upto") - F.col("__n") <= F.col(rank)) & (F.col(rank) < F.col("__upto"))
+    middle = placed.where(holds("__low") | holds("__high")).groupBy(*_named(keys), *state)
+    return middle.agg(
+        F.min("__lo").alias("__lo"),
+        F.max("__hi").alias("__hi"),
+        F.min(F.col("__upto") - F.col("__n")).alias("__below"),
+        F.when(F.min("__lo") < F.max("__hi"), F.sum("__n")).otherwise(0).alias("__inside"),  # one value is done
+    )
+
+
 def _grid_bounds(fractions: Sequence[float]) -> tuple[Column, Column]:
     """The asked quantiles next below the lower and next above the upper middle rank, with room for
     the rank error; the old bounds where none is asked for."""
@@ -51,13 +77,13 @@ def _grid_bounds(fractions: Sequence[float]) -> tuple[Column, Column]:
     return lo, hi
 
 
-def _narrowed(values: DataFrame, keys: Sequence[str], brackets: DataFrame, fractions: Sequence[float]) -> DataFrame:
+def _narrowed(values: DataFrame, keys: Sequence[str], brackets: DataFrame) -> DataFrame:
     """The brackets after one pass: the values are summarised, then counted against the new bounds."""
     state = ["__low", "__high", "__below", "__lo", "__hi"]
-    asked = F.array(*[F.lit(x) for x in fractions])
+    asked = F.array(*[F.lit(x) for x in GRID])
     seen = _with_bracket(values, keys, brackets.select(*_named(keys), *state)).groupBy(*_named(keys), *state)
     seen = seen.agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__value", asked, ACCURACY).alias("__quantiles"))
-    lo, hi = _grid_bounds(fractions)
+    lo, hi = _grid_bounds(GRID)
     bounds = seen.select(*_named(keys), *state, lo.alias("__new_lo"), hi.alias("__new_hi"))
 
     value, new_lo, new_hi = F.col("__value"), F.col("__new_lo"), F.col("__new_hi")
@@ -87,17 +113,17 @@ def medians(df: DataFrame, keys: Sequence[str], col: Column, name: str) -> DataF
     """
     keys = list(keys)
     values = df.select(*_named(keys), col.cast("double").alias("__value")).where("__value IS NOT NULL")
-    sizes = values.groupBy(*_named(keys)).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > FEW)
+    sizes = values.groupBy(*_named(keys)).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__value").alias("__lo"), F.max("__value").alias("__hi")
+    ).where(F.col("__n") > FEW)
     low, high = F.expr("(__n - 1) div 2"), F.expr("__n div 2")  # 0-based; one rank for an odd size
     brackets = materialize(
         sizes.select(
             *_named(keys),
             low.alias("__low"),
             high.alias("__high"),
-            F.lit(float("-inf")).alias("__lo"),
-            F.lit(float("inf")).alias("__hi"),
-            F.lit(0).cast("bigint").alias("__below"),
-            F.col("__n").alias("__inside"),
+            "__lo",
+            "__hi",
         ),
         "brackets",
     )
@@ -106,13 +132,12 @@ def medians(df: DataFrame, keys: Sequence[str], col: Column, name: str) -> DataF
     if brackets.isEmpty():
         left = values.select(*_named(keys), "__value", *none)
     else:
-        near, now = 2.5 / ACCURACY, brackets
-        for i in range(PASSES):
+        now = materialize(_histogram(values, keys, brackets), "brackets")
+        for _ in range(PASSES):
             open_ = now.where(F.col("__inside") > FEW)
-            if i and open_.isEmpty():
+            if open_.isEmpty():
                 break
-            narrow = _narrowed(values, keys, open_, GRID if i else [0.5 - near, 0.5 + near])
-            now = materialize(now.where(F.col("__inside") <= FEW).unionByName(narrow), "brackets")
+            now = materialize(now.where(F.col("__inside") <= FEW).unionByName(_narrowed(values, keys, open_)), "brackets")
         left = _with_bracket(values, keys, now.select(*_named(keys), "__lo", "__hi", *state))
         left = left.select(*_named(keys), "__value", *state)
         if keys:
