@@ -4,6 +4,7 @@ A batch is written to a folder of its own first.  It becomes part of the table w
 manifest, a file named by the batch that is moved there in one step and never replaced.  Readers follow
 the manifest, so they see a batch whole or not at all; a writer that is broken off, or that
 comes second, leaves a folder that nobody reads and that :func:`remove_unpublished` deletes.
+The file system must move a file in one step and refuse to replace one, as HDFS does.
 """
 
 from __future__ import annotations
