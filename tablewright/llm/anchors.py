@@ -10,8 +10,8 @@ and every rolling block of every document is a probe.
 2. Hits are extended: the windows that hold a hit, and they alone, are compared between
    cells by their 64-bit hashes, each with the smallest document that has it.  The answer says
    whether an earlier document in another cell has the window.
-3. Windows of one cell are compared inside it.  Removed windows that touch or overlap
-   form the maximal exact repeats.
+3. Inside a cell a block that occurs in two of its documents is a hit, and the windows that hold one are
+   compared there.  Removed windows that touch or overlap form the maximal exact repeats.
 
 A window that many documents share adds one entry per cell to a bucket, never a pair of
 documents.  Texts are shuffled once; hashes of windows are compared, not words, so two
@@ -116,6 +116,11 @@ class _Cell:
         self.is_block = np.zeros(len(self.grams), bool)
         self.is_block[self._gram_of[self.probes.place % self.block == 0]] = True
         self.gram_bucket = (self.grams % np.uint64(buckets)).astype(np.int64)
+        # Hits inside the cell: blocks that occur in two documents, which are in order.
+        first, last = np.empty(len(self.grams), np.int64), np.empty(len(self.grams), np.int64)
+        first[self._gram_of[::-1]] = self.probes.docs[::-1]
+        last[self._gram_of] = self.probes.docs
+        self.is_hit = self.is_block & (first < last)
 
     def pack_probes(self, cell: int) -> pa.Table:
         short = (self.grams >> np.uint64(32)).astype("<u4")  # the bucket holds the other bits
@@ -125,17 +130,19 @@ class _Cell:
             lambda at: (short[at].tobytes(), np.packbits(self.is_block[at]).tobytes()),
         )
 
-    def candidates(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows that hold a hit, each once in order of its first document, and
-        the place of that first window."""
-        hit = unpack_answer(answers, "probe", self.gram_bucket)[self._gram_of]
+    def _holding(self, hits: np.ndarray) -> np.ndarray:
+        """Places of the windows that hold one of the grams that are hits."""
         at_word = np.zeros(len(self.words) + 1, np.int64)
-        at_word[self.probes.starts + 1] = hit
+        at_word[self.probes.starts + 1] = hits[self._gram_of]
         upto = np.cumsum(at_word)
         # Blocks start at the first window - block + 1 words of the window.
         s = self.wide.starts
-        holds = upto[s + self.window - self.block + 1] > upto[s] if len(s) else np.empty(0, bool)
-        places = np.flatnonzero(holds)
+        return np.flatnonzero(upto[s + self.window - self.block + 1] > upto[s]) if len(s) else np.empty(0, np.int64)
+
+    def candidates(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows that hold a hit of another cell, each once in order of its first document,
+        and the place of that first window."""
+        places = self._holding(unpack_answer(answers, "probe", self.gram_bucket))
         _, first = np.unique(self.wide.hashes[places], return_index=True)
         places = places[np.sort(first)]
         return self.wide.hashes[places], places
@@ -155,12 +162,12 @@ class _Cell:
         hashes, _ = self.candidates(answers)
         bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
         elsewhere = np.sort(hashes[unpack_answer(answers, "window", bucket)])
-        unique, first, back = np.unique(self.wide.hashes, return_index=True, return_inverse=True)
-        ids = self.ids[self.wide.docs]
-        gone = ids > ids[first][back] if len(ids) else np.empty(0, bool)  # documents are in order of their ids
-        if len(elsewhere):
-            at = np.searchsorted(elsewhere, unique).clip(max=len(elsewhere) - 1)
-            gone |= (elsewhere[at] == unique)[back]
+        gone = np.zeros(len(self.wide.starts), bool)
+        near = self._holding(self.is_hit)
+        _, first, back = np.unique(self.wide.hashes[near], return_index=True, return_inverse=True)
+        ids = self.ids[self.wide.docs[near]]  # documents are in order of their ids
+        gone[near] = ids > ids[first][back]
+        gone |= _among(self.wide.hashes, elsewhere)
         cover = np.zeros(len(self.words) + 1, np.int64)
         np.add.at(cover, self.wide.starts[gone], 1)
         np.add.at(cover, self.wide.starts[gone] + self.window, -1)
