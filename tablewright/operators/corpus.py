@@ -584,6 +584,7 @@ def fallback_groups(
 # A JOIN is broken off first, which leaves no two-word join.
 _ONE_PASS = [w for w in CLAUSES if not w.endswith(" JOIN")]
 _CLAUSE = "(?i:" + "|".join(sorted(_ONE_PASS, key=len, reverse=True)) + ")"
+_INITIAL = "(?=[" + "".join(sorted({x for w in _ONE_PASS for x in (w[0], w[0].lower())})) + "])"  # rules out most words at once
 
 
 def _clauses_in_turn(text: Column) -> Column:
@@ -605,14 +606,14 @@ def split_clauses(col: str | Column) -> Column:
     between them, does the order of the keywords matter: such a text takes one pass per keyword.
     """
     text = _col(col)
-    marked = F.regexp_replace(text, rf"\s+({_CLAUSE})\s+", f"{MARK}$1{END_MARK}")
+    marked = F.regexp_replace(text, rf"\s+{_INITIAL}({_CLAUSE})\s+", f"{MARK}$1{END_MARK}")
 
     def whole(marked: Column) -> Column:
         pieces = F.transform(
             F.split(marked, f"[{MARK}{END_MARK}]"),
             lambda piece, i: F.when(i % 2 == 1, F.concat(F.lit("\n"), F.upper(piece), F.lit(" "))).otherwise(piece),
         )
-        in_turn = text.rlike(f"[{MARK}{END_MARK}]") | marked.rlike(rf"{END_MARK}{_CLAUSE}[\s{MARK}]")
+        in_turn = text.contains(MARK) | text.contains(END_MARK) | marked.rlike(rf"{END_MARK}{_CLAUSE}[\s{MARK}]")
         return (
             F.when(~marked.contains(MARK), text).when(in_turn, _clauses_in_turn(text)).otherwise(F.array_join(pieces, ""))
         )
