@@ -147,8 +147,8 @@ SPECIAL_TEMPLATES = (
 # Words of a factory name, besides the fragments of a type, that make it a database node.
 DATABASE_WORDS = ("Connector", "Database")
 
-# Noncharacters, which mark places of a text while it is worked on.
-MARK, END_MARK = "\ufdd0", "\ufdd1"
+# A noncharacter, which marks places of a text while it is worked on.
+MARK = "\ufdd0"
 
 # Entry keys that say something about a connection.
 CONNECTION_KEYS = (
@@ -581,44 +581,22 @@ def fallback_groups(
     return groups.withColumn("cell", cell).orderBy(F.desc("count"), "factory")
 
 
-# A JOIN is broken off first, which leaves no two-word join.
-_ONE_PASS = [w for w in CLAUSES if not w.endswith(" JOIN")]
-_CLAUSE = "(?i:" + "|".join(sorted(_ONE_PASS, key=len, reverse=True)) + ")"
-_INITIAL = "(?=[" + "".join(sorted({x for w in _ONE_PASS for x in (w[0], w[0].lower())})) + "])"  # rules out most words at once
-
+def split_clauses(col: str | Column) -> Column:
+    """SQL text with a line break before each clause keyword, keywords in upper case.
 
-def _clauses_in_turn(text: Column) -> Column:
-    """The rule as it is written: one replacement after the other."""
-    words = F.array(*[F.lit(w) for w in _ONE_PASS])
-    return F.aggregate(
-        words,
+    A keyword the text does not hold costs a plain search, no pattern match.
+    """
+    text = _col(col)
+    words = F.array(*[F.lit(w) for w in CLAUSES])
+    held = _bind(F.upper(text), lambda upper: F.filter(words, lambda word: upper.contains(word)))
+    broken = F.aggregate(
+        held,
         text,
         lambda done, word: F.regexp_replace(
             done, F.concat(F.lit(r"(?i)\s+"), word, F.lit(r"\s+")), F.concat(F.lit("\n"), word, F.lit(" "))
         ),
     )
-
-
-def split_clauses(col: str | Column) -> Column:
-    """SQL text with a line break before each clause keyword, keywords in upper case.
-
-    One alternation marks all keywords.  Only where two keywords follow each other, which share the blanks
-    between them, does the order of the keywords matter: such a text takes one pass per keyword.
-    """
-    text = _col(col)
-    marked = F.regexp_replace(text, rf"\s+{_INITIAL}({_CLAUSE})\s+", f"{MARK}$1{END_MARK}")
-
-    def whole(marked: Column) -> Column:
-        pieces = F.transform(
-            F.split(marked, f"[{MARK}{END_MARK}]"),
-            lambda piece, i: F.when(i % 2 == 1, F.concat(F.lit("\n"), F.upper(piece), F.lit(" "))).otherwise(piece),
-        )
-        in_turn = text.contains(MARK) | text.contains(END_MARK) | marked.rlike(rf"{END_MARK}{_CLAUSE}[\s{MARK}]")
-        return (
-            F.when(~marked.contains(MARK), text).when(in_turn, _clauses_in_turn(text)).otherwise(F.array_join(pieces, ""))
-        )
-
-    return strip(_bind(marked, whole))
+    return strip(broken)
 
 
 def distinct_warnings(df: DataFrame, message: str, order_by: Sequence[str] | str | None = None) -> DataFrame:

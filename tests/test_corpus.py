@@ -203,9 +203,9 @@ def test_clauses(spark, sql):
 
 
 def test_clauses_random(spark):
-    """One alternation against one pass per keyword, with keywords side by side and parts of them."""
+    """Against one pass per keyword, with keywords side by side and parts of them."""
     rng = random.Random(6)
-    words = [*W.CLAUSES, *[w.lower() for w in W.CLAUSES], "Or", "a", "t.x = 1", "LEFT", "GROUP", "BY", "land", "x" + W.MARK, W.END_MARK, ""]
+    words = [*W.CLAUSES, *[w.lower() for w in W.CLAUSES], "Or", "a", "t.x = 1", "LEFT", "GROUP", "BY", "land", "x" + W.MARK, ""]
     texts = []
     for _ in range(4000):
         chosen = [rng.choice(words) if rng.random() < 0.6 else "b" for _ in range(rng.randint(0, 9))]
