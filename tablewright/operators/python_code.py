@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..missing import as_list, check_columns, quoted, value
 from .joins import join_tables
+from .rows import sort_rows
 
 Frame = pd.DataFrame
 
@@ -73,17 +74,24 @@ def for_each_group(
     state: str,
     finish: dict[str, Column | str] | None = None,
     slice_rows: int = 100_000,
+    frames: bool = False,
 ) -> DataFrame:
     """Run user code for every group, whatever its size.
 
     ``fold`` turns a slice of one group's rows into a state (a dict shaped like the DDL
     ``state``); ``merge`` turns a frame of such states of one group into one state, and
     must give the same result for any split into slices.  ``finish`` maps output
-    columns to expressions over the state; without it the state is the output.
+    columns to expressions over the state; without it the state is the output.  Rows with
+    a missing key belong to no group.
 
-    A task folds ``slice_rows`` rows at a time and merges its own states; only states
-    are shuffled, and the last merge streams over them sorted by key.  Rows with a
-    missing key belong to no group.
+    The rows are sorted by key into ranges first, a large group over several, so there is a call
+    per group, range and ``slice_rows`` rows, however the rows of the groups were mixed.  With
+    ``frames`` the rows are not moved: ``fold`` and ``merge`` take frames of many groups and
+    return a frame of the keys and states, one row per group.  That is for code pandas
+    groups by itself, and for few large groups.
+
+    A task folds ``slice_rows`` rows at a time and merges its own states; states are shuffled,
+    and the last merge streams over them sorted by key.
     """
     keys = as_list(keys)
     check_columns(df, keys)
@@ -94,8 +102,10 @@ def for_each_group(
     schema = T.StructType([*[clean.schema[k] for k in keys], *fields.fields])
     columns = schema.names
 
-    def run(frame: Frame, step: Callable[[Frame], dict]) -> Frame:
-        """One state per group of the frame, groups in order of appearance."""
+    def run(frame: Frame, step: Callable[[Frame], dict | Frame]) -> Frame:
+        """One state per group of the frame."""
+        if frames:
+            return step(frame)[columns]
         made = []
         for key, rows in frame.groupby(keys, sort=False):
             key = key if isinstance(key, tuple) else (key,)
@@ -142,7 +152,8 @@ def for_each_group(
             yield open_group
 
     group = [quoted(k) for k in keys]
-    states = clean.mapInPandas(fold_task, schema)
+    rows = clean if frames else sort_rows(clean, keys, copies=True)
+    states = rows.mapInPandas(fold_task, schema)
     merged = states.repartition(*group).sortWithinPartitions(*group).mapInPandas(merge_sorted, schema)
     if finish is None:
         return merged

@@ -247,11 +247,18 @@ def _(t):
     " FROM lineitem GROUP BY ALL",
 )
 def _(t):
+    """Few large groups, so their rows stay where they are."""
+    keys = ["l_returnflag", "l_linestatus"]
+
+    def sums(states: pd.DataFrame) -> pd.DataFrame:
+        return states.groupby(keys, sort=False, as_index=False)[["top", "weight"]].sum()
+
     return for_each_group(
-        t.lineitem.select("l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity"),
-        ["l_returnflag", "l_linestatus"],
-        lambda rows: {"top": (rows["l_extendedprice"] * rows["l_quantity"]).sum(), "weight": rows["l_quantity"].sum()},
-        lambda states: {"top": states["top"].sum(), "weight": states["weight"].sum()},
+        t.lineitem.select(*keys, "l_extendedprice", "l_quantity"),
+        keys,
+        lambda rows: sums(rows.assign(top=rows["l_extendedprice"] * rows["l_quantity"], weight=rows["l_quantity"])),
+        sums,
         "top double, weight double",
         {"weighted": "round(top / weight, 4)"},
+        frames=True,
     )

@@ -106,6 +106,56 @@ def test_groups_of_any_size(spark, batch, slice_rows):
     assert got == {int(k): (r["n"], r["top"], r["last"]) for k, r in want.iterrows()}
 
 
+def test_calls_follow_groups(spark):
+    """Groups whose rows are mixed over all tasks are not folded once per task, and a large one is still shared."""
+    rows = spark.range(4000).select((F.col("id") % 100).alias("key"), "id").repartition(8, "id")
+    out = for_each_group(
+        rows,
+        "key",
+        lambda r: {"n": len(r), "calls": 1},
+        lambda states: {"n": states["n"].sum(), "calls": states["calls"].sum()},
+        "n bigint, calls bigint",
+    ).collect()
+    assert [r["n"] for r in out] == [40] * 100
+    assert sum(r["calls"] for r in out) < 150  # once per group, and once more where a range ends inside one
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = for_each_group(
+            rows.select(F.lit(1).alias("key"), F.lit("copy").alias("id")),
+            "key",
+            lambda r: {"n": len(r), "calls": 1},
+            lambda states: {"n": states["n"].sum(), "calls": states["calls"].sum()},
+            "n bigint, calls bigint",
+        ).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out["n"] == 4000 and out["calls"] > 4
+
+
+@pytest.mark.parametrize("batch, slice_rows", [(10_000, 100_000), (7, 3), (1, 5)])
+def test_groups_in_frames(spark, batch, slice_rows):
+    def step(names):
+        return lambda f: f.groupby("key", as_index=False).agg(**names)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        out = for_each_group(
+            hot(spark),
+            "key",
+            step({"n": ("id", "size"), "top": ("value", "max"), "last": ("id", "max")}),
+            step({"n": ("n", "sum"), "top": ("top", "max"), "last": ("last", "max")}),
+            "n bigint, top double, last bigint",
+            slice_rows=slice_rows,
+            frames=True,
+        )
+        got = {r["key"]: (r["n"], r["top"], r["last"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    frame = pd.DataFrame(hot_rows(3000), columns=["key", "value", "id"])
+    want = frame.groupby("key").agg(n=("id", "size"), top=("value", "max"), last=("id", "max"))
+    assert got == {int(k): (r["n"], r["top"], r["last"]) for k, r in want.iterrows()}
+
+
 def test_group_output_expressions(spark):
     out = for_each_group(
         edge(spark), ["g"], lambda r: {"n": len(r)}, lambda s: {"n": s["n"].sum()}, "n bigint", {"twice": "n * 2"}
