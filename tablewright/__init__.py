@@ -80,6 +80,7 @@ from .sources.files import (
     read_run_results,
     report_lines,
     scan_docs,
+    write_documents,
     write_report,
 )
 from .sources.sql import NamedQueries, named_queries, read_sql

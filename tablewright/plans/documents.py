@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as W
 from ..session import new_path
-from ..sources.files import pack_files, read_packed, scan_docs
+from ..sources.files import pack_files, read_packed, scan_docs, write_documents
 from .registry import query
 
 ATTRIBUTE = r'(href|class|id|lang|charset)="([^"]*)"'
@@ -122,8 +122,7 @@ def customer_files(t) -> str:
         F.format_string('<config n="%d"\n top="%s"/>', F.count("*"), F.max("c_name")).alias("value")
     )
     path = new_path(t.spark, "documents")
-    rows = blocks.select(F.expr("block % 25").alias("part"), "value")
-    rows.write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
+    write_documents(blocks.select(F.expr("block % 25").alias("part"), "value"), path, "part")
     return path
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as R
 from ..session import new_path
-from ..sources.files import read_log_lines, read_run_results, report_lines, write_report
+from ..sources.files import read_log_lines, read_run_results, report_lines, write_documents, write_report
 from .registry import query
 
 
@@ -206,8 +206,7 @@ def _(t):
     )
     text = F.when(F.col("block") % 50 == 7, F.substring(document, 1, 40)).otherwise(document)
     path = new_path(t.spark, "results")
-    rows = blocks.select(F.expr("block % 25").alias("part"), text.alias("value"))
-    rows.write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
+    write_documents(blocks.select(F.expr("block % 25").alias("part"), text.alias("value")), path, "part")
     read = read_run_results(t.spark, path).select(
         F.col("part").cast("bigint").alias("part"), "status", "nome_orquestrador", F.explode_outer("resultados_scripts").alias("r")
     )

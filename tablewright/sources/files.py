@@ -87,6 +87,17 @@ def scan_docs(spark: SparkSession, root: str, pattern: str = "settings.xml") ->
     return files.select(_plain_path(F.col("_metadata.file_path")).alias("path"), _text(F.col("value")).alias("content"))
 
 
+def write_documents(docs: DataFrame, path: str, folder: str, content: str = "value") -> None:
+    """A text file for each row, in folders named by the column ``folder``.
+
+    To make a file takes far longer than to write its bytes, by which adaptive execution would leave
+    all rows to one task; they are dealt evenly to the session's shuffle partitions instead.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(quoted(folder), quoted(content)).repartition(tasks)
+    rows.write.partitionBy(folder).option("maxRecordsPerFile", 1).text(path)
+
+
 def file_table(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(``path``, ``bytes``, ``modified``) of all files of that name below ``root``; none is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)

@@ -1,11 +1,14 @@
 import os
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright import corpus as W, file_table, pack_files, read_packed, scan_docs
+from tablewright.plans.documents import customer_files
+from tablewright.plans.registry import Tables
 
 HEAD = '<entry key="factory" type="xstring" value="org.sample.base.db.DBReaderNodeFactory"/>'
 
@@ -67,6 +70,16 @@ def test_packed_files(spark, docs, tmp_path):
     assert spark.read.parquet(f"{packed}/batches/*").count() == len(files) + 2
 
 
+def test_documents_are_written_by_many_tasks(spark):
+    """Few bytes in many files are not left to one task, and each row is one file in its folder."""
+    t = Tables(spark, "/root/testdata/sf0.01")
+    files = file_table(spark, customer_files(t), "*.txt").collect()
+    names = [r["path"].rsplit("/", 2) for r in files]
+    assert len(names) == 30 and {n[1] for n in names} == {f"part={i}" for i in range(25)}
+    tasks = Counter(n[2].split("-")[1] for n in names)
+    assert len(tasks) > 4 and max(tasks.values()) < 10
+
+
 def test_inventory(docs):
     got = {r["name"]: (r["factory"], r["sql"]) for r in W.node_inventory(docs).collect()}
     assert got == {
