@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright import corpus as W, file_table, pack_files, read_packed, scan_docs
+from tablewright import corpus as W, file_table, pack_files, read_packed, scan_docs, session
+from tablewright.plans import QUERIES
 from tablewright.plans.documents import customer_files
 from tablewright.plans.registry import Tables
 
@@ -80,6 +81,16 @@ def test_documents_are_written_by_many_tasks(spark):
     assert len(tasks) > 4 and max(tasks.values()) < 10
 
 
+def test_pack_query(spark, tmp_path, monkeypatch):
+    """Its documents come from many tasks, and all are in the first of two batches."""
+    monkeypatch.setitem(session._folders, spark.conf.get("spark.app.id"), str(tmp_path))
+    packed = QUERIES["pack_files"](spark, "/root/testdata/sf0.01")
+    assert packed.count() == 30
+    assert len({f.name.split("-")[1] for f in tmp_path.glob("*-documents-*/part=*/part-*.txt")}) > 4
+    batches = [spark.read.parquet(str(b)).count() for b in tmp_path.glob("*-packed-*/batches/*")]
+    assert sorted(batches) == [0, 30]
+
+
 def test_inventory(docs):
     got = {r["name"]: (r["factory"], r["sql"]) for r in W.node_inventory(docs).collect()}
     assert got == {
