@@ -37,6 +37,9 @@ RUN_RESULT = (
     f"resultados_scripts array<struct<{SCRIPT_RESULT}>>"
 )
 
+# Fixed value: local files without a checksum file beside each, which takes as long to make as the file.
+NO_CHECKSUMS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def read_run_results(spark: SparkSession, path: str) -> DataFrame:
     """Run results, one JSON document per file, with ``path`` and ``status``.
@@ -90,12 +93,17 @@ def scan_docs(spark: SparkSession, root: str, pattern: str = "settings.xml") ->
 def write_documents(docs: DataFrame, path: str, folder: str, content: str = "value") -> None:
     """A text file for each row, in folders named by the column ``folder``.
 
-    To make a file takes far longer than to write its bytes, by which adaptive execution would leave
-    all rows to one task; they are dealt evenly to the session's shuffle partitions instead.
+    To make a file or folder takes far longer than to write its bytes, by which adaptive execution would
+    leave all rows to one task.  Rows are dealt evenly, copies too, and then cut into ranges of folder and place:
+    one for each shuffle partition of the session, so a task makes few folders.
     """
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(quoted(folder), quoted(content)).repartition(tasks)
-    rows.write.partitionBy(folder).option("maxRecordsPerFile", 1).text(path)
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(quoted(folder).alias("folder"), quoted(content).alias("value"))
+    dealt = rows.repartition(tasks).withColumn("place", F.spark_partition_id())
+    ranges = dealt.repartitionByRange(tasks, "folder", "place", F.xxhash64("value"))
+    out = ranges.select(F.col("folder").alias(folder), F.col("value").alias(content))
+    out.write.partitionBy(folder).options(**NO_CHECKSUMS).option("maxRecordsPerFile", 1).text(path)
 
 
 def file_table(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -120,14 +128,15 @@ def pack_files(
     the bytes and not the number of files.  A file counts as new if its path or its time of modification is.
     False if the batch is there already.
     """
+    sizes = {"spark.sql.files.maxPartitionBytes": task_bytes, "spark.sql.files.openCostInBytes": open_bytes}
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     new = files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content")
     if published(spark, target):
         # What is there is compared as (path, time), never with the contents.
         there = read_batches(spark, target).select("path", "modified")
-        fresh = file_table(spark, root, pattern).join(there, ["path", "modified"], "left_anti").select("path", "modified")
-        new = new.join(materialize(fresh, "files"), ["path", "modified"], "left_semi").select(new.columns)
-    sizes = {"spark.sql.files.maxPartitionBytes": task_bytes, "spark.sql.files.openCostInBytes": open_bytes}
+        fresh = new.select("path", "modified").join(there, ["path", "modified"], "left_anti")
+        with _settings(spark, sizes):
+            new = new.join(materialize(fresh, "files"), ["path", "modified"], "left_semi").select(new.columns)
     with _settings(spark, sizes):
         return append_batch(new, target, batch)
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright import corpus as W, file_table, pack_files, read_packed, scan_docs, session
+from tablewright import corpus as W, file_table, pack_files, read_packed, scan_docs, session, write_documents
 from tablewright.plans import QUERIES
 from tablewright.plans.documents import customer_files
 from tablewright.plans.registry import Tables
@@ -81,6 +81,18 @@ def test_documents_are_written_by_many_tasks(spark):
     assert len(tasks) > 4 and max(tasks.values()) < 10
 
 
+def test_documents_cost_few_files_and_folders(spark, tmp_path):
+    """Equal documents are dealt evenly; no checksum files, and a task makes few folders."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = spark.range(0, 1000).select((F.col("id") % 25).alias("place"), F.lit("same").alias("text"))
+    write_documents(docs, str(tmp_path / "docs"), "place", "text")
+    assert not list((tmp_path / "docs").rglob("*.crc"))
+    files = [(f.parent.name, f.name.split("-")[1]) for f in (tmp_path / "docs").glob("place=*/part-*.txt")]
+    assert len(files) == 1000 and len({folder for folder, _ in files}) == 25
+    assert len(set(files)) <= tasks + 25
+    assert max(Counter(task for _, task in files).values()) < 4 * max(1000 / tasks, 5)
+
+
 def test_pack_query(spark, tmp_path, monkeypatch):
     """Its documents come from many tasks, and all are in the first of two batches."""
     monkeypatch.setitem(session._folders, spark.conf.get("spark.app.id"), str(tmp_path))
