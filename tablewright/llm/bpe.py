@@ -2,8 +2,9 @@
 
 For every prefix of a piece there is exactly one token that can end its encoding: a
 vocabulary entry that is a suffix of the prefix and compatible with the last token of the
-prefix before it.  Two tokens are compatible if merging the text of both from scratch gives
-back these two.  The suffix matches come from an automaton over the vocabulary, so a piece
+prefix before it, or the last byte if no longer one is.  Two tokens are compatible if merging
+the text of both from scratch gives back these two, which is decided by taking back the merges
+next to their border, last one first, and looking for a merge across it.  The suffix matches come from an automaton over the vocabulary, so a piece
 costs time in proportion to its length, however long it is; following the stored last
 tokens back from the end gives the ids.
 
@@ -22,10 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -39,6 +40,8 @@ from .common import corpus_table, free_name
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 CACHED_LENGTH = 40
 CACHED_PIECES = 60_000
+CACHED_PAIRS = 300_000
+TOKENS = 1 << 32  # more than a vocabulary has
 ROWS = 256  # documents whose ids are held at once
 
 
@@ -49,6 +52,15 @@ def byte_symbols() -> str:
     return "".join(chr(b if b in visible else next(hidden)) for b in range(256))
 
 
+def latin_pieces() -> str:
+    """:data:`PIECES` for texts of characters below U+0100, in the faster patterns of the standard library."""
+    latin = "".join(map(chr, range(256)))
+    blank, letter, digit = (re.escape("".join(regex.findall(rf"\p{{{c}}}", latin))) for c in ("White_Space", "L", "N"))
+    return (
+        rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{digit}]+| ?[^{blank}{letter}{digit}]+|[{blank}]+(?![^{blank}])|[{blank}]+"
+    )
+
+
 class PrefixEncoder:
     """Encoder and decoder of one vocabulary file (its JSON text)."""
 
@@ -63,25 +75,80 @@ class PrefixEncoder:
         self.ids: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
-        symbols = byte_symbols()
-        self._to_symbols = {b: symbols[b] for b in range(256)}
-        from_symbol = {s: b for b, s in enumerate(symbols)}
+        from_symbol = {s: b for b, s in enumerate(byte_symbols())}
         self._bytes = {i: bytes(from_symbol[c] for c in token) for token, i in self.ids.items()}
         self._added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take blanks or word limits are not supported")
-        self._bytes.update({i: content.encode() for content, i in self._added.items()})
         # Longer added tokens first, so that of two at one place the longer is found.
         added = sorted(self._added, key=len, reverse=True)
         self._split_added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")").split if added else None
         self._pieces = regex.compile(PIECES).findall
+        self._latin_pieces = re.compile(latin_pieces()).findall
         self._matches = ahocorasick.Automaton()
-        for token in self.ids:
-            self._matches.add_word(token, token)
+        self._number_tokens()
+        for number, token in enumerate(self._tokens):
+            text = self._bytes[self.ids[token]].decode("latin-1")
+            if self._stands(number) and len(text) > 1:
+                self._matches.add_word(text, (len(text), number))
         self._matches.make_automaton()
-        self._compatible: dict[tuple[str, str], bool] = {}
+        self._bytes.update({i: content.encode() for content, i in self._added.items()})
+        self._packed = [self.ids[token].to_bytes(4, sys.byteorder) for token in self._tokens]
+        self._compatible: dict[int, bool] = {}
         self._recent = _Recent(self._encode_piece)
 
+    def _number_tokens(self) -> None:
+        """Number single bytes first, then tokens in the order of the merges that make them.
+
+        ``_halves`` are the numbers that a token is merged of, a single byte's are its own.  They are None if a
+        token has two merges or is made before its halves; then texts are merged instead of taken apart.
+        """
+        single = [t for t in self.ids if len(t) == 1]
+        self._single = {self._bytes[self.ids[t]].decode("latin-1"): n for n, t in enumerate(single)}
+        made = dict.fromkeys("".join(pair) for pair in self.ranks)
+        self._tokens = single + [t for t in made if len(t) > 1 and t in self.ids]
+        numbers = {t: n for n, t in enumerate(self._tokens)}
+        self._joined, self._halves = {}, [(n, n) for n in range(len(single))]
+        ordered = len(made) == len(self.ranks) and len(self._tokens) == len(single) + len(made)
+        for left, right in self.ranks if ordered else ():
+            pair, number = (numbers.get(left), numbers.get(right)), numbers[left + right]
+            ordered = ordered and None not in pair and max(pair) < number
+            if not ordered:
+                break
+            self._joined[pair[0] * TOKENS + pair[1]] = number
+            self._halves.append(pair)
+        if not ordered or len(numbers) > TOKENS:
+            self._halves = None
+        else:
+            self.ranks = {}  # no text is merged then
+        self._standing = [True] * len(single)
+
+    def _stands(self, number: int) -> bool:
+        """Whether the text of a token merges to that token; asked in the order of the numbers."""
+        if self._halves is None:
+            return self._merged(self._tokens[number]) == [self._tokens[number]]
+        if number >= len(self._standing):
+            left, right = self._halves[number]
+            self._standing.append(self._standing[left] and self._standing[right] and self._apart(left, right, number))
+        return self._standing[number]
+
+    def _apart(self, left: int, right: int, limit: int) -> bool:
+        """Whether no merge before that of ``limit`` joins anything across the border of two tokens.
+
+        The merges of both are taken back, the last one first; of equal ones the right one is the last.
+        """
+        joined, halves = self._joined, self._halves
+        while True:
+            if joined.get(left * TOKENS + right, limit) < limit:
+                return False
+            inner, outer = halves[left][1], halves[right][0]
+            if outer != right and (right >= left or inner == left):
+                limit, right = right + 1, outer
+            elif inner != left:
+                limit, left = left, inner
+            else:
+                return True
+
     def _merged(self, text: str) -> list[str]:
         """The tokens of a short text by merging the pair of lowest rank until none is left."""
         parts, ranks = list(text), self.ranks
@@ -100,29 +167,45 @@ class PrefixEncoder:
             parts = out
         return parts
 
-    def _fits(self, last: str, token: str) -> bool:
-        """Whether ``token`` may follow ``last``; an empty ``last`` is the start of the piece."""
-        known = self._compatible.get((last, token))
-        if known is None:
-            if len(self._compatible) > 1_000_000:
-                self._compatible.clear()
-            known = self._merged(last + token) == ([last, token] if last else [token])
-            self._compatible[last, token] = known
+    def _fits(self, last: int, token: int) -> bool:
+        """Whether ``token`` may follow ``last``: merging the text of both gives back these two."""
+        if self._halves is not None:
+            known = self._apart(last, token, len(self._tokens))
+        else:
+            both = [self._tokens[last], self._tokens[token]]
+            known = self._merged("".join(both)) == both
+        if len(self._compatible) >= CACHED_PAIRS:
+            self._compatible.clear()
+        self._compatible[last * TOKENS + token] = known
         return known
 
-    def _encode_piece(self, piece: str) -> tuple[int, ...]:
-        text = piece.encode().decode("latin-1").translate(self._to_symbols)
-        last: list[str] = [""] * (len(text) + 1)  # last token of each prefix; that of the empty prefix is empty
-        for end, token in self._matches.iter(text):
-            if not last[end + 1]:
-                before = end + 1 - len(token)
-                if (not before or last[before]) and self._fits(last[before], token):
-                    last[end + 1] = token
+    def _encode_piece(self, piece: str) -> bytes:
+        """Ids as unsigned 32-bit integers, one after the other."""
+        text = piece if piece.isascii() else piece.encode().decode("latin-1")
+        # Last token of each prefix; the longest matches come first.  Where none fits it is the last byte.
+        last: list[int | None] = [None] * (len(text) + 1)
+        single, known = self._single, self._compatible.get
+        for end, (length, token) in self._matches.iter(text):
+            end += 1
+            if last[end] is None:
+                if length == end:
+                    last[end] = token
+                    continue
+                before = last[end - length]
+                if before is None:
+                    before = single[text[end - length - 1]]
+                fits = known(before * TOKENS + token)
+                if self._fits(before, token) if fits is None else fits:
+                    last[end] = token
         found, at = [], len(text)
         while at:
-            found.append(self.ids[last[at]])
-            at -= len(last[at])
-        return tuple(reversed(found))
+            token = last[at]
+            if token is None:
+                token = single[text[at - 1]]
+            found.append(self._packed[token])
+            at -= len(self._tokens[token])
+        found.reverse()
+        return b"".join(found)
 
     def encode(self, text: str) -> array:
         """Ids as unsigned 32-bit integers."""
@@ -137,7 +220,12 @@ class PrefixEncoder:
         return out
 
     def _encode_plain(self, text: str) -> array:
-        return array("I", chain.from_iterable(map(self._recent.__getitem__, self._pieces(text))))
+        try:
+            text.encode("latin-1")
+            pieces = self._latin_pieces(text)
+        except UnicodeEncodeError:
+            pieces = self._pieces(text)
+        return array("I", b"".join(map(self._recent.__getitem__, pieces)))
 
     def decode(self, ids) -> str:
         return b"".join(map(self._bytes.__getitem__, ids)).decode(errors="replace")

@@ -1,6 +1,8 @@
 """The encoder against the tokenizers library, on texts made to be hard and on the documents."""
 
 import hashlib
+import itertools
+import json
 
 import numpy as np
 import pytest
@@ -38,6 +40,36 @@ def test_any_text(text):
     same(text)
 
 
+def test_pairs_are_decided_without_merging_texts(monkeypatch):
+    """Texts that were not met before cost no merging from scratch."""
+    encoder = bpe.PrefixEncoder(open(bpe.default_tokenizer(), encoding="utf-8").read())
+    monkeypatch.setattr(encoder, "_merged", None)
+    for text in [*HARD, "unheardofword étrangement Übergröße xqzzyk aaaaaaaa -=-=-="]:
+        assert encoder.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=255), max_size=60))
+def test_latin_pieces(text):
+    assert OWN._latin_pieces(text) == OWN._pieces(text)
+
+
+@pytest.mark.parametrize("merges", [
+    [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc"), ("abc", "a")],  # one token of two merges
+    [("ab", "c"), ("a", "b"), ("c", "a"), ("a", "a"), ("aa", "b")],  # a token made before its half
+    [("a", "a"), ("aa", "aa"), ("aa", "a"), ("b", "a")],  # in order
+])
+def test_any_order_of_merges(merges):
+    spec = json.loads(open(bpe.default_tokenizer(), encoding="utf-8").read())
+    tokens = dict.fromkeys([*bpe.byte_symbols(), *("".join(m) for m in merges)])
+    spec["added_tokens"], spec["model"]["merges"] = [], [list(m) for m in merges]
+    spec["model"]["vocab"] = {t: i for i, t in enumerate(tokens)}
+    library, own = Tokenizer.from_str(json.dumps(spec)), bpe.PrefixEncoder(json.dumps(spec))
+    for length in range(1, 8):
+        for text in map("".join, itertools.product("abc", repeat=length)):
+            assert own.encode(text).tolist() == library.encode(text).ids, text
+
+
 def test_broken_bytes_decode_as_in_the_library():
     for ids in ([188], [222, 240], [447, 64], [50256, 188, 50256]):
         assert OWN.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
